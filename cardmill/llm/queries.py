@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import consistent, neardup, repetition, spans, terms, vocabulary
+from . import consistent, leaks, mixture, names, neardup, repetition, spans, survivors, terms, vocabulary
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,47 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_terms(spark, d).where("mark is not null").select("term", "mark")
 
 
+FACETS = ["position", "argtype", "year", "attribution", "words", "highlighted", "underlined", "docx_path", "topic", "division", "orig_folder", "collection"]
+
+
+def p6_survivors(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "files")
+    keyed = files.join(survivors.stem_key(files, "file_id", "stem"), "file_id").where("group_key <> ''")
+    year = F.regexp_extract("year", r"((?:19|20)\d\d)", 1)
+    return survivors.survivors(keyed, "file_id", "group_key", ["highlighted", "words"], F.when(year != "", year), FACETS)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_survivors(spark, d).where("n > 1").select("first_id", "best_id")
+
+
+def p7_spellings(spark: SparkSession, d: str) -> DataFrame:
+    found = names.attribute(table(spark, d, "cards"), "card_id", "cite", table(spark, d, "authors"), "author_id")
+    return found.groupBy(F.col("author").alias("author_id"), "spelling").agg(F.count("*").alias("cards"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    found = names.attribute(table(spark, d, "cards"), "card_id", "cite", table(spark, d, "authors"), "author_id")
+    return found.select("card_id", F.col("author").alias("author_id"))
+
+
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    found = leaks.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text")
+    return found.withColumn("share", F.round("share", 6))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_leaks(spark, d).where("longest_run >= 12").select("doc_id", "item_id")
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mix(table(spark, d, "documents"), "doc_id", "text", "source", table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.report(table(spark, d, "documents"), "doc_id", "text", "source", table(spark, d, "mix_targets"))
+
+
 def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetition(table(spark, d, "documents"), "doc_id", "text").withColumn("share", F.round("share", 6))
 
