@@ -140,32 +140,36 @@ def _keep(cp: np.ndarray, at: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray,
 
 
 def _compose(cp: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Letters and the marks that follow them, as one letter where there is one."""
+    """Letters and the marks that follow them, as one letter where there is one: marks in canonical order, each tried in
+    turn with the letter so far unless a mark of its class that found no partner stands between."""
     t = tables()
     mark = t.kind[cp] == MARK
     if not mark.any():
         return cp, at
-    mark[at[:-1][at[:-1] < len(cp)]] &= False  # a mark that begins a row has no letter
-    if (mark[1:] & mark[:-1]).any():  # canonical order of neighbouring marks
-        run = np.cumsum(~mark)
-        order = np.lexsort((np.arange(len(cp)), np.where(mark, t.rank[cp], 0), run))
-        cp = cp[order]
-    while True:
-        left, right = np.nonzero(mark[1:] & ~mark[:-1])[0], 0
-        if not len(left):
-            return cp, at
-        key = cp[left].astype(np.uint64) << np.uint64(21) | cp[left + 1].astype(np.uint64)
+    start = ~mark
+    start[at[:-1][at[:-1] < len(cp)]] = True  # a mark that begins a row belongs to no letter before
+    run = np.cumsum(start) - 1
+    if (mark[1:] & mark[:-1]).any():
+        cp = cp[np.lexsort((np.where(mark, t.rank[cp], 0), run))]
+    begin = np.nonzero(start)[0]
+    size = np.diff(np.append(begin, len(cp)))
+    base = np.nonzero((size > 1) & ~mark[begin])[0]
+    cp, keep = cp.copy(), np.ones(len(cp), bool)
+    skipped = np.zeros(len(base), np.int64)
+    k = 1
+    while len(base):
+        left, right = begin[base], begin[base] + k
+        key = cp[left].astype(np.uint64) << np.uint64(21) | cp[right].astype(np.uint64)
         found = np.minimum(np.searchsorted(t.pair, key), len(t.pair) - 1)
-        hit = t.pair[found] == key
-        if not hit.any():
-            return cp, at
-        cp = cp.copy()
+        rank = t.rank[cp[right]].astype(np.int64)
+        hit = (t.pair[found] == key) & (skipped < rank)
         cp[left[hit]] = t.composed[found[hit]]
-        keep = np.ones(len(cp), bool)
-        keep[left[hit] + 1] = False
-        mark[left[~hit] + 1] = False  # nothing to compose with: the mark ends the letter
-        mark = mark[keep]
-        cp, at = _keep(cp, at, keep)
+        keep[right[hit]] = False
+        skipped = np.where(hit, skipped, rank)
+        k += 1
+        more = size[base] > k
+        base, skipped = base[more], skipped[more]
+    return _keep(cp, at, keep)
 
 
 def _alike(cp: np.ndarray, at: np.ndarray) -> np.ndarray:
