@@ -89,7 +89,9 @@ class Tables:
         keys = np.array([a << 21 | b for a, b in pairs], np.uint64)
         order = np.argsort(keys)
         self.pair, self.composed = keys[order], np.array(list(pairs.values()), np.uint32)[order]
-        self.last = {c: len(x) for c, x in self.wide.items()}
+        self.apart = {c: np.array([ord(x) for x in unicodedata.normalize("NFD", chr(c))], np.uint32) for c in pairs.values()}
+        self.accented = np.zeros(TOP, bool)
+        self.accented[list(self.apart)] = True
 
 
 @cache
@@ -139,6 +141,20 @@ def _keep(cp: np.ndarray, at: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray,
     return cp[mask], np.concatenate([[0], np.cumsum(mask)])[at]
 
 
+def _expand(cp: np.ndarray, at: np.ndarray, where: np.ndarray, forms: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The characters at these places as the several that they stand for."""
+    if not len(where):
+        return cp, at
+    parts = [forms[c] for c in cp[where].tolist()]
+    size = np.ones(len(cp), np.int64)
+    size[where] = [len(x) for x in parts]
+    to = np.concatenate([[0], np.cumsum(size)])
+    own = size[where]
+    out = np.repeat(cp, size)
+    out[np.repeat(to[where] - np.concatenate([[0], np.cumsum(own)[:-1]]), own) + np.arange(own.sum())] = np.concatenate(parts)
+    return out, to[at]
+
+
 def _compose(cp: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Letters and the marks that follow them, as one letter where there is one: marks in canonical order, each tried in
     turn with the letter so far unless a mark of its class that found no partner stands between."""
@@ -146,6 +162,12 @@ def _compose(cp: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     mark = t.kind[cp] == MARK
     if not mark.any():
         return cp, at
+    before = np.append(mark[1:], False)
+    before[at[1:][at[1:] > 0] - 1] = False
+    accented = np.nonzero(before & t.accented[cp])[0]  # a letter that has an accent and gets another
+    if len(accented):
+        cp, at = _expand(cp, at, accented, t.apart)
+        mark = t.kind[cp] == MARK
     start = ~mark
     start[at[:-1][at[:-1] < len(cp)]] = True  # a mark that begins a row belongs to no letter before
     run = np.cumsum(start) - 1
@@ -201,14 +223,7 @@ def consistent(cp: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     was, wat = part, pat
     kind = t.kind[part]
     part, kind, pat = part[k := kind != GONE], kind[k], np.concatenate([[0], np.cumsum(k)])[pat]
-    if (wide := np.nonzero(kind == WIDE)[0]).size:
-        size = np.ones(len(part), np.int64)
-        size[wide] = [len(t.wide[c]) for c in part[wide].tolist()]
-        to = np.concatenate([[0], np.cumsum(size)])
-        forms = np.concatenate([t.wide[c] for c in part[wide].tolist()])
-        where = np.repeat(to[wide] - np.concatenate([[0], np.cumsum(size[wide])[:-1]]), size[wide]) + np.arange(len(forms))
-        part, pat = np.repeat(part, size), to[pat]
-        part[where] = forms
+    part, pat = _expand(part, pat, np.nonzero(kind == WIDE)[0], t.wide)
     part, pat = _compose(t.to[part], pat)
     part, pat = _compose(_alike(part, pat), pat)
     same = np.diff(pat) == np.diff(wat)

@@ -33,7 +33,7 @@ _powers: dict[tuple[int, bool], np.ndarray] = {}
 
 def powers(base: np.uint64, n: int, inverse: bool = False) -> np.ndarray:
     key = (int(base), inverse)
-    if len(_powers.get(key, ())) < n:
+    if len(_powers.get(key, ())) < max(n, 1):
         b = U(pow(int(base), -1, 1 << 64)) if inverse else base
         p = np.full(max(n, 1 << 16), b, U)
         p[0] = 1
