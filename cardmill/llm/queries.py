@@ -60,15 +60,19 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 FACETS = ["position", "argtype", "year", "attribution", "words", "highlighted", "underlined", "docx_path", "topic", "division", "orig_folder", "collection"]
 
 
-def p6_survivors(spark: SparkSession, d: str) -> DataFrame:
+def _versions(spark: SparkSession, d: str, least: int) -> DataFrame:
     files = table(spark, d, "files")
     keyed = files.join(survivors.stem_key(files, "file_id", "stem"), "file_id").where("group_key <> ''")
     year = F.regexp_extract("year", r"((?:19|20)\d\d)", 1)
-    return survivors.survivors(keyed, "file_id", "group_key", ["highlighted", "words"], F.when(year != "", year), FACETS)
+    return survivors.survivors(keyed, "file_id", "group_key", ["highlighted", "words"], F.when(year != "", year), FACETS, least=least)
+
+
+def p6_survivors(spark: SparkSession, d: str) -> DataFrame:
+    return _versions(spark, d, 1)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return p6_survivors(spark, d).where("n > 1").select("first_id", "best_id")
+    return _versions(spark, d, 2).select("first_id", "best_id")
 
 
 def p7_spellings(spark: SparkSession, d: str) -> DataFrame:

@@ -39,8 +39,8 @@ def layers(cells: list[tuple[int, ...]]) -> list[list[int]]:
     return out
 
 
-def survivors(df: DataFrame, key: str, group: str, trust: list[str], year: Column, fields: list[str]) -> DataFrame:
-    """(group, n, first_id, best_id, skyline, *fields): one surviving record for each group.
+def survivors(df: DataFrame, key: str, group: str, trust: list[str], year: Column, fields: list[str], *, least: int = 1) -> DataFrame:
+    """(group, n, first_id, best_id, skyline, *fields): one surviving record for each group of at least `least` records.
 
     Records are compared by completeness (fields that are known), recency (year, 0 where none is known or it is not in
     1900-2100) and trust (the columns of `trust`, greater first, null below 0, ties to the smaller key). Of those that no
@@ -68,6 +68,8 @@ def survivors(df: DataFrame, key: str, group: str, trust: list[str], year: Colum
         for batch in batches:
             out: list[list] = [[] for _ in range(5 + len(fields))]
             for g, own in zip(batch.column("_g").to_pylist(), batch.column("cells").to_pylist(), strict=True):
+                if sum(c["_n"] for c in own) < least:
+                    continue
                 points = [tuple(c["_score"].values()) for c in own]
                 ranks = {p: r for r, p in enumerate(sorted(set(points)))}
                 by_layer = layers([(c["_known"], c["_year"], ranks[p]) for c, p in zip(own, points, strict=True)])
