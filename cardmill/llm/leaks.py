@@ -88,7 +88,7 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
 
     Items are sent to the executors in blocks of bounded size, each streamed against all documents without a shuffle of
     them; what is gathered is one count a seed of a block. An item shorter than a seed cannot be found, one shorter than the window by
-    its rarest seed. Null texts count as empty; copies of a document each come out.
+    its rarest seed. Items with a null key are passed over. Null texts count as empty; copies of a document each come out.
     """
     spark = docs.sparkSession
     narrow = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
@@ -97,7 +97,7 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
     kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     parts = []
     for b in range(blocks):
-        block = items.where(F.pmod(F.xxhash64(item_key), F.lit(blocks)) == b).select(F.col(item_key).alias("i"), F.col(item_text).alias("t")).orderBy("i").collect()
+        block = items.where(F.col(item_key).isNotNull()).where(F.pmod(F.xxhash64(item_key), F.lit(blocks)) == b).select(F.col(item_key).alias("i"), F.col(item_text).alias("t")).orderBy("i").collect()
         own = Items(np.array([r.i for r in block], np.int64), [r.t or "" for r in block])
         parts.append(_block(spark, narrow, own, kind, window, least_score))
     found = reduce(DataFrame.union, parts)

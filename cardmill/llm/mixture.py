@@ -96,7 +96,7 @@ def plan(docs: DataFrame, key: str, text: str, source: str, targets: DataFrame,
     return sized, [{"source": s, "target_share": share[s], "max_repeats": cap[s], "supply": supply.get(s, 0), "quota": quota[s], "fall": fall[s]} for s in share]
 
 
-def mix(docs: DataFrame, key: str, text: str, source: str, targets: DataFrame, *, ordered: bool = True, **how: object) -> DataFrame:
+def mix(docs: DataFrame, key: str, text: str, source: str, targets: DataFrame, **how: object) -> DataFrame:
     """(key, source, copy, tokens, position): the chosen documents with their repeats, in order of training position.
 
     Each source gets its target share of `total` tokens (all tokens of the sources with a target, if not given). A document is taken at most
@@ -109,7 +109,13 @@ def mix(docs: DataFrame, key: str, text: str, source: str, targets: DataFrame, *
     source (null included) are left out, and targets without documents get nothing. Empty texts have 0 tokens and are kept in order.
     """
     sized, lines = plan(docs, key, text, source, targets, **how)
-    spark = docs.sparkSession
+    out = _placed(sized, lines).withColumnRenamed("id", key)
+    return out.orderBy("position", key, "copy")
+
+
+def _placed(sized: DataFrame, lines: list[dict]) -> DataFrame:
+    """(id, source, copy, tokens, position)"""
+    spark = sized.sparkSession
     table = spark.createDataFrame([(x["source"], x["supply"], x["quota"], x["fall"]) for x in lines], "source string, supply long, quota double, fall double")
     order = F.xxhash64("id")
     placed = sized.join(F.broadcast(table.where("quota > 0")), "source").withColumn("_h", order).withColumn("_b", F.pmod(F.shiftright("_h", 48), F.lit(BUCKETS)))
@@ -126,15 +132,14 @@ def mix(docs: DataFrame, key: str, text: str, source: str, targets: DataFrame, *
     # demand up to u is u + a * u * (1 - u) of the quota; the root of that for `done`, in the form that is exact at a = 0
     u = 2 * done / ((1 + a) + F.sqrt(F.greatest((1 + a) * (1 + a) - 4 * a * done, F.lit(0.0))))
     total = sum(x["quota"] for x in lines)
-    out = copies.select(F.col("id").alias(key), "source", F.col("copy").cast("int").alias("copy"), "tokens", F.round(F.when(done > 0, u).otherwise(0.0) * total, 3).alias("position"))
-    return out.orderBy("position", key, "copy") if ordered else out
+    return copies.select("id", "source", F.col("copy").cast("int").alias("copy"), "tokens", F.round(F.when(done > 0, u).otherwise(0.0) * total, 3).alias("position"))
 
 
 def report(docs: DataFrame, key: str, text: str, source: str, targets: DataFrame, **how: object) -> DataFrame:
     """(source, target_share, max_repeats, supply_tokens, mixed_tokens, actual_share, documents, most_repeats): a row for each target."""
-    kept = mix(docs, key, text, source, targets, ordered=False, **how)
-    got = kept.groupBy("source").agg(F.sum("tokens").alias("mixed_tokens"), F.count("*").alias("documents"), F.max("copy").alias("most_repeats"))
-    sized = sizes(docs, key, text, source, how.get("vocabulary") or default_vocabulary()).groupBy("source").agg(F.sum("tokens").alias("supply_tokens"))
+    counted, plans = plan(docs, key, text, source, targets, **how)
+    got = _placed(counted, plans).groupBy("source").agg(F.sum("tokens").alias("mixed_tokens"), F.count("*").alias("documents"), F.max("copy").alias("most_repeats"))
+    sized = counted.groupBy("source").agg(F.sum("tokens").alias("supply_tokens"))
     lines = targets.select(_source("source").alias("source"), "target_share", "max_repeats").join(sized, "source", "left").join(got, "source", "left")
     lines = lines.fillna(0, ["supply_tokens", "mixed_tokens", "documents", "most_repeats"])
     all_ = F.sum("mixed_tokens").over(Window.partitionBy(F.lit(0)))  # a row a target

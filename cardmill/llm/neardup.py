@@ -82,17 +82,18 @@ def linked(df: DataFrame, key: str, fields: list[str], *, shingle: int = 5, thre
     """Classes of equal word sequences, and links between classes that are similar enough.
 
     First (id, class): the class of each row that has a shingle. Second (a, b, similarity): pairs of different classes,
-    a < b. Rows are the nodes of nothing but their class, so copies cost one row a band and partition. Bands go through
-    one shuffle that both sides of the self-join use; a band holds only different texts of the same rows of minima, and AQE splits
-    it if it is large. Each candidate pair is verified on the whole shingle sets of one row of either class.
+    a < b. Copies become one class before bands are shuffled, so a group of copies of any size is one row in a band. Bands go
+    through one shuffle that both sides of the self-join use; a band holds only different texts of the same rows of minima, and
+    AQE splits it if it is large. Each candidate pair is verified on the whole shingle sets of one row of either class.
     """
     bands = bands_for(threshold, rows, recall)
     sig = shared.cut(signatures(df, key, fields, shingle=shingle, rows=rows, bands=bands))
     members = sig.select("id", "class")
-    slots = sig.select("class", F.posexplode("bands").alias("i", "h")).select("class", (F.shiftleft(F.col("i").cast("long"), 32) + F.col("h").cast("long")).alias("slot"))
+    classes = sig.groupBy("class", "bands").agg(F.min("id").alias("id"))  # equal words have equal bands: a row a class
+    slots = classes.select("class", F.posexplode("bands").alias("i", "h")).select("class", (F.shiftleft(F.col("i").cast("long"), 32) + F.col("h").cast("long")).alias("slot"))
     one, other = slots.select("slot", F.col("class").alias("a")), slots.select("slot", F.col("class").alias("b"))
     candidates = one.join(other, "slot").where("a < b").select("a", "b").distinct()
-    reps = members.groupBy("class").agg(F.min("id").alias("id"))
+    reps = classes.select("class", "id")
     by_id = candidates.join(reps.select(F.col("class").alias("a"), F.col("id").alias("ia")), "a").join(reps.select(F.col("class").alias("b"), F.col("id").alias("ib")), "b")
     narrow, names = _narrow(df, key, fields)
     for side, at in (("l", "ia"), ("r", "ib")):

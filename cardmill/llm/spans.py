@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import shared, words
 
 ANCHOR = 8  # words of an anchor
-HOT = 256  # rows with one anchor above which each window is routed by its own words
+HOT = 256  # different stretches of one anchor above which each window is routed by its own words
 SHARD = 30_000  # words of one automaton
 
 
@@ -125,8 +125,8 @@ def shared_spans(df: DataFrame, key: str, text: str, *, span: int = 25) -> DataF
     Anchors (see `anchors`) find which stretches may be shared: an anchor of one row only rules out all windows around it. The
     stretch around an anchor of several rows is routed to the shard of that anchor, where all its occurrences meet; equal
     stretches are one there, kept with their least and greatest id. A suffix automaton of each shard gives the matching
-    statistics of each stretch. An anchor in more than HOT rows is routed by its windows' own words, so no shard grows
-    with a copied text. Null and empty texts and those of fewer words have no row; keys must be unique.
+    statistics of each stretch. Stretches of an anchor that has more than HOT different ones are routed by their windows' own
+    words, so no shard grows with a text that is copied or quoted everywhere. Null and empty texts and those of fewer words have no row; keys must be unique.
     """
     narrow = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("_text")).where(F.length("_text") >= 2 * span - 1)
 
@@ -134,12 +134,14 @@ def shared_spans(df: DataFrame, key: str, text: str, *, span: int = 25) -> DataF
         w = words.Words(part.column("_text"), form=False, blanks=True)
         first, h = anchors(w, span)
         row = w.row[first]
-        return words.record(id=part.column("id").take(pa.array(row)), at=(first - w.at[row]).astype(np.int32), anchor=words.signed(h))
+        around = words.chained(w.hash, np.maximum(first - before, w.at[row]), np.minimum(first + after, w.at[row + 1]), words.CHAIN)
+        return words.record(id=part.column("id").take(pa.array(row)), at=(first - w.at[row]).astype(np.int32), anchor=words.signed(h), around=words.signed(around))
 
-    spots = narrow.mapInArrow(words.over(find, "_text"), "id bigint, at int, anchor bigint")
-    several = spots.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low <> high").select("anchor", (F.col("n") > HOT).alias("hot"))
-    wanted = spots.join(several, "anchor").groupBy("id").agg(F.collect_list(F.struct("at", "anchor", "hot")).alias("spots"))
     before, after = span - ANCHOR, span
+    spots = narrow.mapInArrow(words.over(find, "_text"), "id bigint, at int, anchor bigint, around bigint")
+    several = spots.groupBy("anchor", "around").agg(F.min("id").alias("low"), F.max("id").alias("high")).groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("n"))
+    several = several.where("low <> high").select("anchor", (F.col("n") > HOT).alias("hot"))
+    wanted = spots.select("id", "at", "anchor").join(several, "anchor").groupBy("id").agg(F.collect_list(F.struct("at", "anchor", "hot")).alias("spots"))
 
     def stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
