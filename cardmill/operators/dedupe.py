@@ -60,12 +60,9 @@ def manifest_lines(moved: DataFrame) -> DataFrame:
 
 def summary(scan: DataFrame) -> DataFrame:
     """One row: scanned, exact_removed, survivors, version_groups, to_review, final."""
-    rows = plan(scan)
-    counts = rows.agg(
-        F.count_if(F.col("disposition") == "duplicate").alias("exact_removed"), F.count_if(F.col("disposition") != "duplicate").alias("survivors"), F.count_if(F.col("version") == 2).alias("version_groups"),
-        F.count_if(F.col("disposition") == "review").alias("to_review"), F.count_if(F.col("disposition") == "keep").alias("final"),
-    )
-    return scan.agg(F.count("*").alias("scanned")).select("scanned", F.lit(1).alias("k")).join(counts.withColumn("k", F.lit(1)), "k").drop("k")
+    rows = plan(scan).select("disposition", "version").unionByName(scan.select(F.lit("scanned").alias("disposition"), F.lit(None).cast("int").alias("version")))
+    n = {"scanned": F.col("disposition") == "scanned", "exact_removed": F.col("disposition") == "duplicate", "survivors": F.col("disposition").isin("keep", "review"), "version_groups": F.col("version") == 2, "to_review": F.col("disposition") == "review", "final": F.col("disposition") == "keep"}
+    return rows.agg(*(F.count_if(c).alias(name) for name, c in n.items()))
 
 
 def conflicts(scan: DataFrame) -> DataFrame:

@@ -73,13 +73,17 @@ def lexical(queries: DataFrame, cards: DataFrame, files: DataFrame, w: Weights)
     qt = terms(queries)
     each = qt.select("query_id", F.explode("toks").alias("term"))
     idf = frequencies(cards, files).select("term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    low = index.with_stem(cards, files).select("card_id", "is_evidence", *(F.lower(F.coalesce(c, F.lit(""))).alias(f"_{c}") for c in ("tag", "cite", "body", "stem")))
-    has = hits(each, cards, files).join(idf, "term")
-    rows = each.join(has, "term").join(low, "card_id").join(qt.select("query_id", "phrase"), "query_id")
-
-    bonus = F.when(F.col("phrase") != "", F.when(F.contains(F.concat("_tag", F.lit(" "), "_body"), F.col("phrase")), w.w_phrase).otherwise(0.0) + F.when(F.contains("_stem", F.col("phrase")), w.w_title * 2).otherwise(0.0)).otherwise(0.0) + F.when(F.col("is_evidence") != 0, w.w_eviden).otherwise(0.0)
+    rows = index.with_stem(cards, files)
+    short = rows.select("card_id", *(F.lower(F.coalesce(c, F.lit(""))).alias(f"_{c}") for c in ("tag", "cite", "stem")))
+    # weights of fields are facts of a term and a card: they are found once, then each query adds up its terms
     score = F.col("idf") * (1.0 + F.when(F.contains("_tag", F.col("term")), w.w_tag).otherwise(0.0) + F.when(F.contains("_cite", F.col("term")), w.w_cite).otherwise(0.0) + F.when(F.contains("_stem", F.col("term")), w.w_title).otherwise(0.0))
-    return rows.select("query_id", "card_id", score.alias("s"), bonus.alias("b")).groupBy("query_id", "card_id").agg((F.sum("s") + F.max("b")).alias("score"))
+    found = hits(each, cards, files).join(idf, "term").join(short, "card_id").select("term", "card_id", score.alias("s"))
+    sums = each.join(found, "term").groupBy("query_id", "card_id").agg(F.sum("s").alias("s"))
+    phrase = F.col("phrase")
+    where = F.concat(F.lower(F.coalesce("tag", F.lit(""))), F.lit(" "), F.lower(F.coalesce("body", F.lit(""))))
+    bonus = F.when(phrase == "", 0.0).otherwise(F.when(F.contains(where, phrase), w.w_phrase).otherwise(0.0) + F.when(F.contains(F.lower(F.coalesce("stem", F.lit(""))), phrase), w.w_title * 2).otherwise(0.0))
+    whole = rows.select("card_id", "is_evidence", "tag", "body", "stem")
+    return sums.join(whole, "card_id").join(qt.select("query_id", "phrase"), "query_id").select("query_id", "card_id", (F.col("s") + bonus + F.when(F.col("is_evidence") != 0, w.w_eviden).otherwise(0.0)).alias("score"))
 
 
 def search(queries: DataFrame, query_vectors: DataFrame | None, cards: DataFrame, card_vectors: DataFrame | None, files: DataFrame, w: Weights, k: int = BEST) -> DataFrame:

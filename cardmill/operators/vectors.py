@@ -16,6 +16,7 @@ from .ordered import ranked
 LEVELS = 127
 QUERIES = 4096  # queries compared at once
 BODY = 1200  # characters of a body that vectors see
+ROWS = 512  # rows multiplied at once
 
 
 def texts(cards: DataFrame, files: DataFrame) -> DataFrame:
@@ -28,11 +29,12 @@ def tfidf(docs: DataFrame, *, least: int = 4, share: float = 0.4, most: int = 40
     """(key, term, weight): (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), each row of length 1. Terms of at least `least` rows and at most that share of
     rows; of more than `most` the most frequent, then the first by alphabet. A row's terms are counted within the row."""
     n = docs.count()
-    toks = docs.select(key, T.tokens(F.col("text"), T.QUERY_TOKEN).alias("toks"))
+    # rows are spread by key once: counts, weights and lengths of a row need no other shuffle; the terms kept are at most `most`
+    toks = docs.select(key, T.tokens(F.col("text"), T.QUERY_TOKEN).alias("toks")).repartition(key)
     tf = toks.select(key, F.explode("toks").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where((F.col("df") >= least) & (F.col("df") <= share * n))
     df = df.orderBy(F.desc("total"), "term").limit(most)
-    raw = tf.join(df, "term").select(key, "term", ((1 + F.log("tf")) * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)).alias("w"))
+    raw = tf.join(F.broadcast(df), "term").select(key, "term", ((1 + F.log("tf")) * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)).alias("w"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return raw.select(key, "term", (F.col("w") / length).alias("weight"))
 
@@ -64,15 +66,12 @@ def lsa(weights: DataFrame, n: int, *, key: str = "card_id", dims: int = 64, rou
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros_like(sent.value)
             for batch in batches:
-                at, cols, w = _ragged(batch)
-                row = np.repeat(np.arange(batch.num_rows), np.diff(at))
-                left = np.zeros((batch.num_rows, sent.value.shape[1]))
-                for lo in range(0, len(cols), 1 << 16):
-                    s = slice(lo, lo + (1 << 16))
-                    np.add.at(left, row[s], sent.value[cols[s]] * w[s, None])
-                for lo in range(0, len(cols), 1 << 16):
-                    s = slice(lo, lo + (1 << 16))
-                    np.add.at(total, cols[s], left[row[s]] * w[s, None])
+                for at, cols, w in _ragged(batch):
+                    left = np.add.reduceat(sent.value[cols] * w[:, None], at[:-1])
+                    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+                    order = np.argsort(cols, kind="stable")
+                    begin = np.nonzero(np.append(True, np.diff(cols[order]) != 0))[0]
+                    total[cols[order][begin]] += np.add.reduceat(left[row[order]] * w[order, None], begin)
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["m"])
 
         parts = rows.select("i", "w").mapInArrow(part, "m binary")
@@ -88,12 +87,10 @@ def lsa(weights: DataFrame, n: int, *, key: str = "card_id", dims: int = 64, rou
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, cols, w = _ragged(batch)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(at))
-            out = np.zeros((batch.num_rows, sent.value.shape[1]))
-            for lo in range(0, len(cols), 1 << 16):
-                s = slice(lo, lo + (1 << 16))
-                np.add.at(out, row[s], sent.value[cols[s]] * w[s, None])
+            parts = [np.add.reduceat(sent.value[cols] * w[:, None], at[:-1]) for at, cols, w in _ragged(batch)]
+            if not parts:
+                continue
+            out = np.concatenate(parts)
             out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(out), pa.list_(pa.float64()))], names=["k", "v"])
 
@@ -105,10 +102,14 @@ def lsa(weights: DataFrame, n: int, *, key: str = "card_id", dims: int = 64, rou
     return docs, spark.createDataFrame([(t, v.tolist()) for t, v in zip(vocabulary, scaled, strict=True)], "term string, v array<double>")
 
 
-def _ragged(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _ragged(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Starts, terms and weights of some rows at a time; every row has a term."""
     i, w = (batch.column(batch.schema.get_field_index(c)) for c in ("i", "w"))
     at = np.asarray(i.offsets) - i.offsets[0].as_py()
-    return at, np.asarray(i.flatten()), np.asarray(w.flatten())
+    cols, weights = np.asarray(i.flatten()), np.asarray(w.flatten())
+    for lo in range(0, batch.num_rows, ROWS):
+        own = at[lo : lo + ROWS + 1]
+        yield own - own[0], cols[own[0] : own[-1]], weights[own[0] : own[-1]]
 
 
 def quantised(vectors: DataFrame, v: str = "v") -> DataFrame:
