@@ -57,9 +57,7 @@ def fts_tokens(c: Column) -> Column:
 
 def trigrams(c: Column) -> Column:
     """Distinct runs of three characters; none for shorter texts."""
-    low = F.lower(F.coalesce(c, F.lit("")))
-    n = F.char_length(low)
-    return F.when(n >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(low, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("(?s)(?=(...))"), F.lit(1)))
 
 
 # --- citations -----------------------------------------------------------------------------------------------------
