@@ -51,7 +51,7 @@ def signatures(df: DataFrame, key: str, fields: list[str], *, shingle: int, rows
     return narrow.mapInArrow(words.over(sign, *names), f"id {kind}, class bigint, bands array<int>")
 
 
-def similar(pairs: DataFrame, fields: list[str], *, shingle: int, threshold: float) -> DataFrame:
+def similar(pairs: DataFrame, fields: list[str], *, kind: str, shingle: int, threshold: float) -> DataFrame:
     """The pairs whose distinct shingles agree so far, with `similarity`; texts of both sides are in l_0, r_0 and so on."""
     left, right = ([f"{side}_{i}" for i in range(len(fields))] for side in "lr")
 
@@ -75,30 +75,28 @@ def similar(pairs: DataFrame, fields: list[str], *, shingle: int, threshold: flo
         keep = pa.array(np.nonzero((value >= threshold) & (both > 0))[0])
         return words.record(a=part.column("a").take(keep), b=part.column("b").take(keep), similarity=value[keep.to_numpy()])
 
-    return pairs.mapInArrow(words.over(verify, *left, *right), "a bigint, b bigint, similarity double")
+    return pairs.mapInArrow(words.over(verify, *left, *right), f"a {kind}, b {kind}, similarity double")
 
 
 def linked(df: DataFrame, key: str, fields: list[str], *, shingle: int = 5, threshold: float = 0.8, rows: int = 3, recall: float = 0.99) -> tuple[DataFrame, DataFrame]:
     """Classes of equal word sequences, and links between classes that are similar enough.
 
-    First (id, class): the class of each row that has a shingle. Second (a, b, similarity): pairs of different classes,
+    First (id, class): of each row that has a shingle the least id of its class. Second (a, b, similarity): pairs of different classes,
     a < b. Copies become one class before bands are shuffled, so a group of copies of any size is one row in a band. Bands go
     through one shuffle that both sides of the self-join use; a band holds only different texts of the same rows of minima, and
     AQE splits it if it is large. Each candidate pair is verified on the whole shingle sets of one row of either class.
     """
     bands = bands_for(threshold, rows, recall)
     sig = shared.cut(signatures(df, key, fields, shingle=shingle, rows=rows, bands=bands))
-    members = sig.select("id", "class")
-    classes = sig.groupBy("class", "bands").agg(F.min("id").alias("id"))  # equal words have equal bands: a row a class
-    slots = classes.select("class", F.posexplode("bands").alias("i", "h")).select("class", (F.shiftleft(F.col("i").cast("long"), 32) + F.col("h").cast("long")).alias("slot"))
-    one, other = slots.select("slot", F.col("class").alias("a")), slots.select("slot", F.col("class").alias("b"))
-    candidates = one.join(other, "slot").where("a < b").select("a", "b").distinct()
-    reps = classes.select("class", "id")
-    by_id = candidates.join(reps.select(F.col("class").alias("a"), F.col("id").alias("ia")), "a").join(reps.select(F.col("class").alias("b"), F.col("id").alias("ib")), "b")
+    classes = sig.groupBy("class", "bands").agg(F.min("id").alias("rep"))  # equal words have equal bands: a row a class
+    members = sig.select("id", "class").join(classes.select("class", "rep"), "class").select("id", F.col("rep").alias("class"))
+    slots = classes.select("rep", F.posexplode("bands").alias("i", "h")).select("rep", (F.shiftleft(F.col("i").cast("long"), 32) + F.col("h").cast("long")).alias("slot"))
+    one, other = slots.select("slot", F.col("rep").alias("a")), slots.select("slot", F.col("rep").alias("b"))
+    pairs = one.join(other, "slot").where("a < b").select("a", "b").distinct()
     narrow, names = _narrow(df, key, fields)
-    for side, at in (("l", "ia"), ("r", "ib")):
-        by_id = by_id.join(narrow.withColumnsRenamed({"id": at} | {n: f"{side}{n}" for n in names}), at)
-    return members, similar(by_id, fields, shingle=shingle, threshold=threshold)
+    for side, at in (("l", "a"), ("r", "b")):
+        pairs = pairs.join(narrow.withColumnsRenamed({"id": at} | {n: f"{side}{n}" for n in names}), at)
+    return members, similar(pairs, fields, kind=df.schema[key].dataType.simpleString(), shingle=shingle, threshold=threshold)
 
 
 def pairs(df: DataFrame, key: str, fields: list[str], *, expand: int = 64, **how: object) -> DataFrame:
@@ -110,12 +108,12 @@ def pairs(df: DataFrame, key: str, fields: list[str], *, expand: int = 64, **how
     Null fields count as empty; rows of fewer words than a shingle have no partner. Ids must be unique.
     """
     members, links = linked(df, key, fields, **how)
-    sizes = members.groupBy("class").agg(F.count("*").alias("n"), F.min("id").alias("rep"))
+    sizes = members.groupBy("class").agg(F.count("*").alias("n"))
     several = members.join(sizes.where("n > 1"), "class")
     small = several.where(F.col("n") <= expand)
     within = small.select("class", F.col("id").alias("x")).join(small.select("class", F.col("id").alias("y")), "class").where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    star = several.where((F.col("n") > expand) & (F.col("id") > F.col("rep"))).select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    stands = members.join(sizes, "class").where((F.col("n") <= expand) | (F.col("id") == F.col("rep"))).select("class", "id")
+    star = several.where((F.col("n") > expand) & (F.col("id") > F.col("class"))).select(F.col("class").alias("a"), F.col("id").alias("b"))
+    stands = members.join(sizes, "class").where((F.col("n") <= expand) | (F.col("id") == F.col("class"))).select("class", "id")
     between = links.join(stands.select(F.col("class").alias("a"), F.col("id").alias("x")), "a").join(stands.select(F.col("class").alias("b"), F.col("id").alias("y")), "b")
     between = between.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
     return between.unionByName(within.union(star).withColumn("similarity", F.lit(1.0)))
@@ -130,6 +128,5 @@ def groups(df: DataFrame, key: str, fields: list[str], **how: object) -> DataFra
     sizes = members.groupBy("class").agg((F.count("*") - 1).alias("copies"))
     ends = links.select(F.col("a").alias("class")).union(links.select("b")).groupBy("class").agg(F.count("*").alias("links"))
     per = sizes.join(ends, "class", "left").join(found.withColumnRenamed("node", "class"), "class", "left").where("copies > 0 or links is not null")
-    per = members.join(per, "class").select("id", F.coalesce("component", "class").alias("c"), F.coalesce("links", F.lit(0)).alias("links"), "copies")
-    first = per.groupBy("c").agg(F.min("id").alias("group_id"))
-    return per.join(first, "c").select("id", "group_id", "links", "copies")
+    # a component's least class is its least id
+    return members.join(per, "class").select("id", F.coalesce("component", "class").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"), "copies")
