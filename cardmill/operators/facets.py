@@ -50,6 +50,14 @@ def combined(files: DataFrame, folders_of: DataFrame, folders: T.FolderMap | Non
     return both.select("file_id", F.coalesce("p", "position").alias("position"), F.coalesce("a", "argtype").alias("argtype"), F.coalesce("f", "division", F.lit("Policy")).alias("format"), F.coalesce("y", "year").alias("year"), "topic", "division", "orig_folder", "collection")
 
 
+def updated(files: DataFrame, folders_of: DataFrame, folders: T.FolderMap | None = None) -> DataFrame:
+    """A new version of files with these facets in place of its own, in the same order of columns; new ones come last."""
+    found = combined(files, folders_of, folders)
+    new = [c for c in found.columns if c != "file_id"]
+    order = [*files.columns, *(c for c in new if c not in files.columns)]
+    return files.drop(*new).join(found, "file_id").select(*order)
+
+
 def coverage(files: DataFrame) -> DataFrame:
     """(facet, n, percent): files that have each facet. No files give 0 percent."""
     names = ("division", "collection", "argtype", "position", "year", "topic")

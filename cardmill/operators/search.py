@@ -153,3 +153,10 @@ def display(cards: DataFrame, files: DataFrame) -> DataFrame:
     title = F.when(tag != "", tag).when(body != "", F.concat(F.substring(F.substring(body, 1, 320), 1, 140), F.lit("…"))).otherwise("(untagged card)")
     badges = F.array_compact(F.array(F.when(F.col("is_evidence") != 0, "evidence").otherwise("analytic"), *(F.nullif(F.col(c), F.lit("")) for c in ("argtype", "position", "topic", "year")), F.nullif(F.substring("section", 1, 46), F.lit(""))))
     return rows.select("card_id", title.alias("title"), (F.char_length(tag) < 12).alias("weak"), F.substring(F.coalesce("cite", F.lit("")), 1, 190).alias("cite"), F.array_join(badges, "|").alias("badges"), "stem", T.open_link(F.col("docx_path"), F.col("stem")).alias("link"))
+
+
+def detail(cards: DataFrame, files: DataFrame, ids: list[int]) -> DataFrame:
+    """(card_id, tag, cite, body, stem, link): all of some cards, with words in place of what is missing."""
+    rows = passing(cards.where(F.col("card_id").isin(ids)), files)
+    tag, body = F.coalesce(F.nullif(F.col("tag"), F.lit("")), F.lit("(untagged card)")), F.coalesce(F.nullif(F.col("body"), F.lit("")), F.lit("(no body text stored — open the source document for the full card)"))
+    return rows.select("card_id", tag.alias("tag"), F.coalesce("cite", F.lit("")).alias("cite"), body.alias("body"), "stem", T.open_link(F.col("docx_path"), F.col("stem")).alias("link"))

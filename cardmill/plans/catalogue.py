@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import gzip
+import json
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +14,7 @@ from ..functions import text as T
 from ..operators import dedupe, evaluate, facets, index, intent, nodes, recover, search, vectors
 from ..operators.ordered import dense_index
 from ..sinks import export
-from ..sources import lists, word
+from ..sources import lists, trees, word
 from . import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -394,6 +397,36 @@ def paragraph_kinds(spark: SparkSession, d: str) -> DataFrame:
     return recover.counts(_paras(Tables(spark, d)))
 
 
+def _trees(t: Tables) -> DataFrame:
+    """(file_id, content): each file's cards written as a compressed document, one card after the other."""
+    row = F.struct("ordinal", "card_id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("tag", "cite", "body")), F.col("is_analytic"))
+    each = t.cards.groupBy("file_id").agg(F.sort_array(F.collect_list(row)).alias("cards"))  # a document is one row
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def leaf(kind: str, text: str) -> dict:
+            return {"type": kind, "content": [{"type": "text", "text": text}]}
+
+        for batch in batches:
+            out = []
+            for cards in batch.column("cards").to_pylist():
+                content = []
+                for c in cards:
+                    parts = [leaf(kind, c[f]) for kind, f in (("tag", "tag"), ("cite_paragraph", "cite"), ("card_body", "body")) if c[f]]
+                    content.append(leaf("analytic", c["body"]) if c["is_analytic"] else {"type": "card", "content": parts})
+                out.append(gzip.compress(json.dumps({"doc": {"type": "doc", "content": content}}).encode(), 1))
+            yield pa.RecordBatch.from_arrays([batch.column("file_id"), pa.array(out, pa.binary())], names=["file_id", "content"])
+
+    return each.mapInArrow(write, "file_id long, content binary")
+
+
+@query
+def tree_cards(spark: SparkSession, d: str) -> DataFrame:
+    """Files written as documents, decoded and taken apart again: their cards, citations and words."""
+    found = trees.good(trees.decode(_trees(Tables(spark, d))))
+    cards = nodes.cards(found).groupBy("file_id").agg(F.count("*").alias("cards"), F.sum("is_evidence").cast("long").alias("evidence"))
+    return cards.join(nodes.counters(found, "file_id").select("file_id", "words"), "file_id", "left").select("file_id", "cards", "evidence", F.coalesce("words", F.lit(0)).alias("words"))
+
+
 # --- files to keep -------------------------------------------------------------------------------------------------
 @query
 def exact_dups(spark: SparkSession, d: str) -> DataFrame:

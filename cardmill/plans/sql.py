@@ -286,6 +286,7 @@ c AS (SELECT *, k1 || k2 || k3 || k4 || k5 AS line, length(regexp_extract(k1 ||
 b AS (SELECT *, length(regexp_extract(substr(line, c + 1, 3), '^([^tcb$]{{0,2}}b)', 1)) AS b FROM c WHERE c > 0)
 SELECT doc_id, pos AS tag_pos, [p1, p2, p3, p4, p5][c] AS cite_pos, [p1, p2, p3, p4, p5][c + b] AS body_pos FROM b WHERE b > 0""",
         "paragraph_kinds": f"WITH {KINDS} SELECT kind, count(*)::BIGINT AS n FROM kinds WHERE kind IS NOT NULL GROUP BY kind",
+        "tree_cards": f"SELECT file_id, count(*)::BIGINT AS cards, count(*) FILTER (is_analytic = 0 AND cite <> '')::BIGINT AS evidence, sum(CASE WHEN is_analytic = 0 THEN {n_words("coalesce(tag, '')")} + {n_words("coalesce(cite, '')")} ELSE 0 END + {n_words("coalesce(body, '')")})::BIGINT AS words FROM cards WHERE is_analytic = 0 OR {n_words("coalesce(body, '')")} > 0 GROUP BY file_id",
         "exact_dups": f"WITH {SCAN} SELECT path FROM ranked WHERE k > 1",
         "version_groups": f"WITH {SCAN} SELECT path, CASE WHEN version = 1 THEN 'keep' ELSE 'review' END AS disposition, version FROM alive",
         "dedupe_moves": f"WITH {MOVES} SELECT * FROM moves",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import facets, index, nodes
 from ..operators.ordered import dense_index
+from ..operators.vectors import quantised
 
 PREVIEW = 320
 PLACE = "__PAYLOAD__"
@@ -25,6 +26,12 @@ def tables(folder: str, files: DataFrame, cards: DataFrame) -> None:
         df.repartitionByRange(key).sortWithinPartitions(key, "card_id").write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
+def vectors(folder: str, docs: DataFrame, terms: DataFrame) -> None:
+    """Vectors of cards and of terms as small numbers with the scale of their table."""
+    for name, df in (("card_vectors", docs), ("term_vectors", terms)):
+        quantised(df).drop("v").write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
 def card_rows(cards: DataFrame, files: DataFrame) -> DataFrame:
     """(card_idx, row): what the page holds of a card, as JSON: tag, cite, place of its file, section, evidence, 0, start of the body."""
     places = dense_index(files.select("file_id"), "file_id", "file_idx")

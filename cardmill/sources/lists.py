@@ -8,6 +8,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import FolderMap
+from ..operators.vectors import dequantised
+
 
 def manifest(lines: DataFrame) -> DataFrame:
     """(stem, folder): where a file was, from lines (source, line_no, line) of an old path and then "    -> new name   [what became of it]". A new
@@ -46,3 +49,16 @@ def qrels(spark: SparkSession, path: str) -> DataFrame:
     with open(path, encoding="utf-8") as f:
         pairs = [(q, s) for q, stems in json.load(f).items() for s in stems]
     return spark.createDataFrame(pairs, "q string, stem string")
+
+
+def folder_map(path: str | None) -> FolderMap:
+    """The user's map in a JSON file over the defaults; the defaults if there is no such file."""
+    if not path or not os.path.exists(path):
+        return FolderMap()
+    with open(path, encoding="utf-8") as f:
+        return FolderMap(json.load(f))
+
+
+def vectors(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The rows of a table of quantised vectors, with `v` as numbers again."""
+    return dequantised(spark.read.parquet(f"{folder}/{name}"))

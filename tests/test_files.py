@@ -127,3 +127,19 @@ def test_stream_takes_new_files_once(spark, tree, tmp_path):
     for _ in range(2):
         ingest.start(spark, tree, out, state).awaitTermination(120)
     assert spark.read.parquet(f"{out}/cards").count() == 3 and spark.read.parquet(f"{out}/errors").count() == 1
+
+
+def test_vectors_written_and_read(spark, tmp_path):
+    docs = spark.createDataFrame([(1, [1.0, -0.5]), (2, [0.0, 0.25])], "card_id long, v array<double>")
+    terms = spark.createDataFrame([("fish", [0.5, 0.5])], "term string, v array<double>")
+    export.vectors(str(tmp_path), docs, terms)
+    got = {r.card_id: r.v for r in lists.vectors(spark, str(tmp_path), "card_vectors").collect()}
+    assert got[1] == pytest.approx([1.0, -64 / 127]) and got[2] == pytest.approx([0, 32 / 127])
+    assert lists.vectors(spark, str(tmp_path), "term_vectors").first().v == [0.5, 0.5]
+
+
+def test_folder_map_file(tmp_path):
+    (tmp_path / "map.json").write_text(json.dumps({"argtype": {"Cards": "Cards"}, "stop_topic": ["A"]}))
+    m = lists.folder_map(str(tmp_path / "map.json"))
+    assert m.argtype["Cards"] == "Cards" and m.argtype["DAs"] == "Disadvantage" and "A" in m.stop
+    assert lists.folder_map(None).stop == lists.folder_map(str(tmp_path / "none")).stop

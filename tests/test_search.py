@@ -171,3 +171,9 @@ def test_latent_vectors_keep_similarities(spark):
     want /= np.linalg.norm(want, axis=1, keepdims=True)
     assert np.allclose(got @ got.T, want @ want.T, atol=1e-6)
     assert term_vectors.count() == len(terms)
+
+
+def test_detail(spark, data):
+    cards, files = data
+    got = {r.card_id: r for r in search.detail(cards, files, [13, 12, 999]).collect()}
+    assert sorted(got) == [12, 13] and got[13].tag == "(untagged card)" and got[13].body.startswith("(no body") and got[12].body == "fifty states act on fishing"

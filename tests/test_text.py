@@ -119,3 +119,11 @@ def test_highlight(spark):
 def test_trigrams(spark):
     assert one(spark, "abcabc", T.trigrams) == ["abc", "bca", "cab"]
     assert one(spark, "ab", T.trigrams) == [] and one(spark, None, T.trigrams) == []
+
+
+def test_updated_keeps_columns(spark):
+    files = spark.createDataFrame([(1, "AT_Fish_LD", "old", 5)], "file_id long, stem string, position string, words long")
+    new = facets.updated(files, spark.createDataFrame([], "stem string, folder string"))
+    assert new.columns[:4] == files.columns and new.columns[-1] == "collection"
+    r = new.first()
+    assert (r.position, r.argtype, r.words) == (None, "Answers To", 5)
