@@ -52,11 +52,12 @@ def lsa(weights: DataFrame, n: int, *, key: str = "card_id", dims: int = 64, rou
     round streams the rows once, adds up its product in each partition and sums those in a tree.
     """
     spark = weights.sparkSession
-    vocabulary = [r.term for r in weights.select("term").distinct().orderBy("term").limit(most_terms + 1).collect()]
-    if len(vocabulary) > most_terms:
+    known = idf(weights, n).orderBy("term").limit(most_terms + 1).collect()
+    if len(known) > most_terms:
         raise ValueError(f"more than {most_terms} terms")
+    vocabulary = [r.term for r in known]
     terms = spark.createDataFrame(list(zip(vocabulary, range(len(vocabulary)), strict=True)), "term string, i int")
-    rows = weights.join(terms, "term").groupBy(key).agg(F.collect_list("i").alias("i"), F.collect_list("weight").alias("w")).persist()
+    rows = weights.join(F.broadcast(terms), "term").groupBy(key).agg(F.collect_list("i").alias("i"), F.collect_list("weight").alias("w")).persist()
     width = min(dims + 10, len(vocabulary))
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(vocabulary), width)))[0]
 
@@ -96,8 +97,7 @@ def lsa(weights: DataFrame, n: int, *, key: str = "card_id", dims: int = 64, rou
 
     kind = weights.schema[key].dataType.simpleString()
     docs = rows.select(key, "i", "w").mapInArrow(project, f"k {kind}, v array<double>").withColumnRenamed("k", key)
-    weight = {r.term: r.idf for r in idf(weights, n).collect()}
-    scaled = right * np.array([weight[t] for t in vocabulary])[:, None]
+    scaled = right * np.array([r.idf for r in known])[:, None]
     scaled /= np.maximum(np.linalg.norm(scaled, axis=1, keepdims=True), 1e-12)
     return docs, spark.createDataFrame([(t, v.tolist()) for t, v in zip(vocabulary, scaled, strict=True)], "term string, v array<double>")
 
