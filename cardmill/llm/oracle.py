@@ -94,5 +94,8 @@ SELECT id AS card_id, min(r) AS group_id, (SELECT count(DISTINCT y.c) FROM e JOI
         "p5_terms": f"WITH {_terms()} SELECT term, gf::BIGINT AS occurrences, df::BIGINT AS records, {mark} AS mark FROM df",
         "p6_found": f"WITH {_stems()} SELECT min(file_id) AS first_id, arg_max(file_id, (coalesce(highlighted, -1), coalesce(words, -1), -file_id)) AS best_id FROM keyed WHERE k <> '' GROUP BY k HAVING count(*) > 1",
         "p8_found": f"WITH {leaked} SELECT DISTINCT doc_id, item_id FROM gd JOIN gb USING (g)",
+        "p10_shares": f"""WITH {repeat}, pos AS (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM d), eq AS (SELECT doc_id, a.i, b.i - a.i AS gap FROM pos a JOIN pos b USING (doc_id, w) WHERE a.i < b.i),
+isl AS (SELECT doc_id, gap, i - row_number() OVER (PARTITION BY doc_id, gap ORDER BY i) AS k FROM eq), runs AS (SELECT doc_id, count(*) AS n FROM isl GROUP BY doc_id, gap, k), most AS (SELECT doc_id, max(n) AS n FROM runs WHERE n >= 8 GROUP BY doc_id)
+SELECT doc_id, len(l)::BIGINT AS n_words, coalesce(inside.k, 0)::BIGINT AS repeated_words, round(coalesce(inside.k, 0) / greatest(len(l), 1), 6) AS share, coalesce(most.n, 0)::BIGINT AS longest FROM d LEFT JOIN inside USING (doc_id) LEFT JOIN most USING (doc_id)""",
         "p10_found": f"WITH {repeat} SELECT doc_id FROM d JOIN inside USING (doc_id) WHERE k * 10 >= len(l) * 3",
     }
