@@ -251,6 +251,7 @@ o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fi
 SELECT query_id, place, stem, cards, score, CASE WHEN place = 1 THEN array_to_string(list_filter(toks, lambda t: contains(tag, t) OR contains(body, t)), ', ') ELSE '' END AS matched FROM o JOIN files USING (file_id) JOIN qt USING (query_id) WHERE place <= 4""",
         "result_labels": f"WITH {TITLE} SELECT query_id, n, format('{{:,}}', n) || CASE WHEN n = 1 THEN ' match' ELSE ' matches' END || ' · titles' AS label FROM (SELECT query_id, count(card_id)::BIGINT AS n FROM named LEFT JOIN titled USING (query_id) GROUP BY query_id)",
         "display_cards": f"SELECT card_id, CASE WHEN tag <> '' THEN tag WHEN body <> '' THEN substr(body, 1, 140) || '…' ELSE '(untagged card)' END AS title, length(coalesce(tag, '')) < 12 AS weak, substr(coalesce(cite, ''), 1, 190) AS cite, {BADGES} AS badges, stem, '../' || replace(replace(replace(replace(replace(url_encode(coalesce(nullif(docx_path, ''), stem || '.docx')), '~', '%7E'), '%2A', '*'), '%2a', '*'), '+', '%2B'), '%20', '%20') AS link FROM cards JOIN files f USING (file_id)",
+        "highlighted_tags": f"""WITH {LEX} SELECT query_id, card_id, list_reduce(list_prepend({ESCAPED.replace('{0}', 'tag')}, list_filter(toks, lambda t: length(t) >= 2)), lambda acc, t: regexp_replace(acc, '(?i)(' || regexp_escape(t) || ')', '<mark>\\1</mark>', 'g')) AS html FROM page JOIN cards USING (card_id) JOIN qt USING (query_id) WHERE rank <= 60""",
         "eval_lexical": f"WITH {EVAL}, {lexical(W3, 'lex')} SELECT query_id, card_id, round(score, 4) AS score FROM lex",
         "rank_metrics": f"WITH {ranker()}, {METRICS} SELECT * FROM measured",
         "rank_best": f"WITH {ranker()}, {METRICS} SELECT * FROM measured ORDER BY mrr DESC, hit3 DESC, config LIMIT 1",
