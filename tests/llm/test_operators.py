@@ -295,6 +295,37 @@ def test_leaks_in_blocks(spark, rows, monkeypatch):
     assert rows(leaks.leaks(d, "k", "t", b, "i", "t"), "k", "i", "longest_run") == [(1, i, 13) for i in range(6)]
 
 
+def test_leaks_of_edited_copies_with_short_runs(spark, rows):
+    rnd = random.Random(17)
+    item = [f"i{k}" for k in range(60)]
+    runs = {}
+    for k in range(30):  # changed words 7 to 12 apart, so runs of 6 to 11 words, elsewhere in each copy
+        w, at = list(item), rnd.randrange(6, 12)
+        while at < len(w):
+            w[at] = f"x{k}"
+            at += rnd.randrange(7, 13)
+        runs[k] = " ".join([prose(rnd, 20), *w, prose(rnd, 20)])
+    once = {100: " ".join(["a", *item[24:30], "b", *item[31:37], "c", *item[38:44], "d"])}  # its seeds also stand in many others
+    d = spark.createDataFrame([*runs.items(), *once.items()], "doc_id long, text string")
+    b = spark.createDataFrame([(1, " ".join(item)), (2, prose(rnd, 40))], "item_id long, text string")
+    found = leaks.leaks(d, "doc_id", "text", b, "item_id", "text")
+    assert rows(found, "doc_id", "item_id") == sorted([(k, 1) for k in (*runs, *once)], key=repr)
+    assert found.where("longest_run > 11 or longest_run < 6").count() == 0
+    alone = leaks.leaks(d.where("doc_id = 0"), "doc_id", "text", b, "item_id", "text")
+    assert rows(alone, "doc_id", "item_id") == [(0, 1)]
+    whole = spark.createDataFrame([(200, " ".join(item))], "doc_id long, text string")  # seeds across a change are the rarest
+    beside = leaks.leaks(d.where("doc_id = 0").union(whole), "doc_id", "text", b, "item_id", "text")
+    assert rows(beside, "doc_id", "item_id") == [(0, 1), (200, 1)]
+
+
+def test_alignments_at_once_equal_single_ones(monkeypatch):
+    monkeypatch.setattr(leaks, "CELLS", 50)
+    rnd = np.random.default_rng(4)
+    docs, items = ([rnd.integers(2, 7, rnd.integers(1, n)).astype(np.uint64) for _ in range(60)] for n in (30, 40))
+    best, longest = leaks.aligned(docs, items)
+    assert [*zip(best, longest, strict=True)] == [align(a, b) for a, b in zip(docs, items, strict=True)]
+
+
 def test_alignment_equals_the_full_table():
     rnd = np.random.default_rng(3)
     for _ in range(40):
