@@ -23,8 +23,10 @@ def _narrow(df: DataFrame, key: str, fields: list[str]) -> tuple[DataFrame, list
 
 
 def signatures(df: DataFrame, key: str, fields: list[str], *, shingle: int, rows: int, bands: int, seed: int = 7) -> DataFrame:
-    """(id, class, bands): for each row with at least one shingle a hash of its word sequence and one of each band."""
+    """(id, class, text, bands): for each row with at least one shingle hashes of its word sequence, of its fields as stored and of
+    each band."""
     narrow, names = _narrow(df, key, fields)
+    narrow = narrow.withColumn("text", F.xxhash64(*(F.coalesce(n, F.lit("")) for n in names)))
     kind = df.schema[key].dataType.simpleString()
     draw = np.random.default_rng(seed)
     factors = draw.integers(0, 1 << 32, (bands * rows, 2), np.uint64).astype(np.uint32) | np.uint32(1)
@@ -46,9 +48,9 @@ def signatures(df: DataFrame, key: str, fields: list[str], *, shingle: int, rows
         whole = words.chained(w.hash, w.at[own], w.at[own + 1], words.CHAIN)
         flat = pa.array((keys.T >> np.uint64(32)).astype(np.uint32).ravel().view(np.int32))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * bands), flat)
-        return words.record(id=part.column("id").take(pa.array(own)), **{"class": words.signed(whole)}, bands=lists)
+        return words.record(id=part.column("id").take(pa.array(own)), **{"class": words.signed(whole)}, text=part.column("text").take(pa.array(own)), bands=lists)
 
-    return narrow.mapInArrow(words.over(sign, *names), f"id {kind}, class bigint, bands array<int>")
+    return narrow.mapInArrow(words.over(sign, *names), f"id {kind}, class bigint, text bigint, bands array<int>")
 
 
 def similar(pairs: DataFrame, fields: list[str], *, kind: str, shingle: int, threshold: float) -> DataFrame:
@@ -81,15 +83,16 @@ def similar(pairs: DataFrame, fields: list[str], *, kind: str, shingle: int, thr
 def linked(df: DataFrame, key: str, fields: list[str], *, shingle: int = 5, threshold: float = 0.8, rows: int = 3, recall: float = 0.99) -> tuple[DataFrame, DataFrame]:
     """Classes of equal word sequences, and links between classes that are similar enough.
 
-    First (id, class): of each row that has a shingle the least id of its class. Second (a, b, similarity): pairs of different classes,
+    First (id, class, text, n): of each row that has a shingle the least id of its class, a hash of its fields as stored and the rows
+    of its class. Second (a, b, similarity): pairs of different classes,
     a < b. Copies become one class before bands are shuffled, so a group of copies of any size is one row in a band. Bands go
     through one shuffle that both sides of the self-join use; a band holds only different texts of the same rows of minima, and
     AQE splits it if it is large. Each candidate pair is verified on the whole shingle sets of one row of either class.
     """
     bands = bands_for(threshold, rows, recall)
     sig = shared.cut(signatures(df, key, fields, shingle=shingle, rows=rows, bands=bands))
-    classes = sig.groupBy("class", "bands").agg(F.min("id").alias("rep"))  # equal words have equal bands: a row a class
-    members = sig.select("id", "class").join(classes.select("class", "rep"), "class").select("id", F.col("rep").alias("class"))
+    classes = sig.groupBy("class", "bands").agg(F.min("id").alias("rep"), F.count("*").alias("n"))  # equal words have equal bands: a row a class
+    members = sig.select("id", "class", "text").join(classes.select("class", "rep", "n"), "class").select("id", F.col("rep").alias("class"), "text", "n")
     slots = classes.select("rep", F.posexplode("bands").alias("i", "h")).select("rep", (F.shiftleft(F.col("i").cast("long"), 32) + F.col("h").cast("long")).alias("slot"))
     one, other = slots.select("slot", F.col("rep").alias("a")), slots.select("slot", F.col("rep").alias("b"))
     pairs = one.join(other, "slot").where("a < b").select("a", "b").distinct()
@@ -102,18 +105,20 @@ def linked(df: DataFrame, key: str, fields: list[str], *, shingle: int = 5, thre
 def pairs(df: DataFrame, key: str, fields: list[str], *, expand: int = 64, **how: object) -> DataFrame:
     """(a, b, similarity): ids of rows that are similar enough, a < b, each pair once.
 
-    Rows with the same words form a class. All pairs within and between classes of up to `expand` rows come out; of a
-    larger class its smallest id stands for it in links with other classes, and pairs with each of its copies: so a
-    group of copies costs as many rows as it has copies, and no link between different texts is lost.
+    Rows with the same words form a class. All pairs within and between linked classes come out, but of more than `expand`
+    exact copies (equal in each field as stored, null as empty) the smallest id stands for all in pairs with other texts, and
+    pairs with each of its copies: so a group of copies costs as many rows as it has copies, and each two different texts
+    that are similar enough are paired, in one class or in two.
     Null fields count as empty; rows of fewer words than a shingle have no partner. Ids must be unique.
     """
     members, links = linked(df, key, fields, **how)
-    sizes = members.groupBy("class").agg(F.count("*").alias("n"))
-    several = members.join(sizes.where("n > 1"), "class")
-    small = several.where(F.col("n") <= expand)
-    within = small.select("class", F.col("id").alias("x")).join(small.select("class", F.col("id").alias("y")), "class").where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    star = several.where((F.col("n") > expand) & (F.col("id") > F.col("class"))).select(F.col("class").alias("a"), F.col("id").alias("b"))
-    stands = members.join(sizes, "class").where((F.col("n") <= expand) | (F.col("id") == F.col("class"))).select("class", "id")
+    several = members.where("n > 1").select("id", "class", "text")
+    texts = several.groupBy("class", "text").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
+    several = several.join(texts, ["class", "text"])
+    star = several.where((F.col("copies") > expand) & (F.col("id") > F.col("first"))).select(F.col("first").alias("a"), F.col("id").alias("b"))
+    shown = several.where((F.col("copies") <= expand) | (F.col("id") == F.col("first"))).select("class", "id")
+    within = shown.select("class", F.col("id").alias("x")).join(shown.select("class", F.col("id").alias("y")), "class").where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    stands = members.where("n = 1").select("class", "id").union(shown)
     between = links.join(stands.select(F.col("class").alias("a"), F.col("id").alias("x")), "a").join(stands.select(F.col("class").alias("b"), F.col("id").alias("y")), "b")
     between = between.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
     return between.unionByName(within.union(star).withColumn("similarity", F.lit(1.0)))

@@ -74,6 +74,24 @@ def test_many_copies_cost_a_row_each(spark):
     assert neardup.pairs(df, "k", ["t"], shingle=3, threshold=0.5).count() == 2999
 
 
+@pytest.mark.parametrize(("copies", "how"), [(70, {}), (6, {"expand": 3})])
+def test_different_texts_of_many_rows_are_all_paired(spark, copies, how):
+    one, near = "one two three four five six seven", "one two three four five six eight"
+    kinds = [(one, None)] * copies + [(one.upper(), None)] * 3 + [(one.replace(" ", ", "), ""), ("one", one[4:]), (one, "")] + [(near, None)] * copies + [(near.title(), None)] * 2
+    rnd = random.Random(3)
+    rnd.shuffle(kinds)
+    kinds = [(i, *k) for i, k in enumerate(kinds)]
+    least = {}
+    for i, t, u in kinds:
+        least.setdefault((t, u or ""), i)
+    crowded = {(one, ""), (near, "")}
+    stands = {i for i, t, u in kinds if (t, u or "") not in crowded or least[t, u or ""] == i}
+    want = {(i, j) for i in stands for j in stands if i < j} | {(least[t, u or ""], i) for i, t, u in kinds if i not in stands}
+    df = spark.createDataFrame(kinds, "k long, t string, u string")
+    got = [(r.a, r.b) for r in neardup.pairs(df, "k", ["t", "u"], shingle=3, threshold=0.5, **how).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_components(spark):
     rnd = random.Random(8)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, rnd.randrange(101, 140)) for _ in range(30)] + [(7, 7), (None, 3), (200, 201)]
