@@ -30,11 +30,13 @@ SHORT = {
     "association": "assn assoc ass'n", "center": "ctr cntr cent centre", "commission": "comm comn commn", "council": "coun cncl cnl", "foundation": "fdn found fndn fnd", "institute": "inst instit", "society": "soc socy", "university": "univ u uni",
     "international": "intl int'l int", "constitutional": "const constl", "economic": "econ", "energy": "en energ", "transition": "trans", "development": "dev devt", "research": "res rsch", "studies": "stud stds", "policy": "pol", "security": "sec", "critical": "crit", "thought": "tht", "maritime": "mar marit", "nuclear": "nuc nucl", "public": "pub publ", "health": "hlth", "rural": "rur", "polar": "pol", "risk": "rsk",
 }
+CACHE_CHARS = 20_000_000  # of citations whose authors are kept in a task
 KINDS = ("association", "center", "commission", "council", "foundation", "institute", "society", "university")
 SMALL = {"the", "for", "on", "of", "and", "study", "in"}
-TITLES = re.compile(r"\b(?:dr|prof|professor|mr|mrs|ms|sir|rev)\b\.?\s+|,?\s*\b(?:ph\.?d|m\.?d|j\.?d|jr|sr|esq|eds?)\b\.?|,?\s*\bet\.? al\b\.?,?|\bothers\b", re.I)
-HEAD = re.compile(r"^(.*?)[\s,]*[(\[]?[’'‘]?\b(?:(?:19|20)\d\d|\d\d)\b(.*)$", re.S)
-SPLIT = re.compile(r"\s+and\s+|\s*&\s*|\s*;\s*|\s+with\s+", re.I)
+TITLES = re.compile(r"\b(?:dr|prof|professor|mr|mrs|ms|sir|rev)\b\.?\s+|(?:,\s*|(?<!\s)\s+)?\b(?:(?:ph\.?d|m\.?d|j\.?d|jr|sr|esq|eds?)\b\.?|et\.? al\b\.?,?)|\bothers\b", re.I)
+YEAR = re.compile(r"\b(?:(?:19|20)\d\d|\d\d)\b")
+# Blanks are tried from the start of their run only, so that time is linear in the length of a citation.
+SPLIT = re.compile(r"(?<!\s)\s+(?:and|with)\s+|(?:(?<!\s)\s+)?[&;]\s*", re.I)
 PLACE = re.compile(r"\b([A-Z][\w'-]+ (?:%s))\b(?! (?:for|on)\b)" % "|".join(k.capitalize() for k in KINDS))
 # Log likelihoods of what a typist does to a name.
 EXACT, FOLDED, NICK, INITIAL, BARE, TYPO, WRONG_PLACE, RIGHT_PLACE = 0.0, -0.1, -1.5, -1.0, -1.2, -4.0, -9.0, 1.0
@@ -113,9 +115,15 @@ class Register:
             for s in short.split():
                 self.nick[s].add(full)
         self._family: dict[str, dict[str, int]] = {}
+        # what is longer than the longest name by more than an edit, or by more than a word, is near none
+        self.longest = max(map(len, self.families), default=0) + 1
+        self.longest_first = max((len(t[0]) for t in self.orgs.values()), default=0) + 1
+        self.most_tokens = max(map(len, self.orgs.values()), default=0) + 1
 
     def family(self, x: str) -> dict[str, int]:
         """Registered spellings of the family name within one edit; only itself if it is one."""
+        if len(x) > self.longest:
+            return {}
         if x not in self._family:
             if len(self._family) > 1 << 18:
                 self._family.clear()
@@ -145,9 +153,9 @@ class Register:
         if 2 < len(letters) <= 8 and letters.isupper() and (" " not in part.strip() or "." in part) and (ids := self.acronyms.get(fold(letters))):
             return dict.fromkeys(ids, INITIAL)
         tokens = [t for t in re.findall(r"[^\W_]+(?:'[^\W_]+)?\.?", fold(part)) if t.rstrip(".") not in SMALL]
-        if len(tokens) < 3:
+        if not 3 <= len(tokens) <= self.most_tokens:
             return {}
-        some = {i for t in tokens for d in deletions(t.rstrip(".")) for i in self.first.get(d, ())}
+        some = {i for t in tokens if len(t.rstrip(".")) <= self.longest_first for d in deletions(t.rstrip(".")) for i in self.first.get(d, ())}
         out = {}
         for i in some:
             score, left = 0.0, list(tokens)
@@ -174,6 +182,14 @@ class Register:
         return -99.0 if n is None or len(want) < 4 else TYPO * n
 
 
+@lru_cache(16)
+def lead_place(rest: str) -> tuple[str, str | None]:
+    """What stands between the year and the title, and the affiliation in it."""
+    lead = re.split(r"[“\"]", rest, maxsplit=1)[0]
+    found = PLACE.search(lead)
+    return lead, fold(found[1]) if found else None
+
+
 class Part:
     """One name of a citation: given is a full given name, a single letter, or empty."""
 
@@ -181,13 +197,11 @@ class Part:
 
     def __init__(self, text: str, rest: str) -> None:
         self.text = text
-        lead = re.split(r"[“\"]", rest, maxsplit=1)[0]
-        found = PLACE.search(lead)
-        self.place = fold(found[1]) if found else None
+        lead, self.place = lead_place(rest)
         t = TITLES.sub(" ", text).strip(" ,.-—–'’‘")
         given, family = "", t
-        if m := re.match(r"^([^(,]+?)\s*\(([^)]+)\)?", t):
-            family, given = m[1], m[2]
+        if m := re.match(r"^([^(,]+)\(([^)]+)\)?", t):
+            family, given = m[1].rstrip() or m[1][0], m[2]
         elif "," in t:
             family, given = (x.strip() for x in t.split(",", 1))
         elif m := re.match(r"^(\S+)\s+((?:[^\W\d_]\.?\s?-?){1,3})$", t):
@@ -208,9 +222,17 @@ class Part:
 
 
 def parts(cite: str) -> list[Part]:
-    m = HEAD.match(cite)
-    head, rest = (m[1], m[2]) if m else (re.split(r"[“\"(\[—]", cite, maxsplit=1)[0], "")
-    return [Part(x, rest) for x in SPLIT.split(head[:400]) if x.strip(" ,.")]
+    if m := YEAR.search(cite):
+        head, rest = cite[: m.start()], cite[m.end() :]
+        for marks in ("’'‘", "(["):
+            head = head[:-1] if head.endswith(tuple(marks)) else head
+        k = len(head)
+        while k and (head[k - 1].isspace() or head[k - 1] == ","):
+            k -= 1
+        head = head[:k]
+    else:
+        head, rest = re.split(r"[“\"(\[—]", cite, maxsplit=1)[0], ""
+    return [Part(x, rest) for x in SPLIT.split(head) if x.strip(" ,.")]
 
 
 class Channel:
@@ -269,7 +291,7 @@ def attribute(df: DataFrame, key: str, cite: str, authors: DataFrame, author_key
     """(key, author, spelling): the entries of `authors` (with name, kind, affiliation) that a citation names at its start, one
     row each, and how they were typed.
 
-    Names are cut from the text before the year. Given and family names, or the words of an organisation, may be typed
+    Names are cut from the text before the year, of any length. Given and family names, or the words of an organisation, may be typed
     with one edit a word, without accents, as nicknames, initials, short forms or acronyms and in any order. Of the
     candidates within that, the one of greatest prior times likelihood is taken. Priors are uses in full, counted over all
     rows of df with equal citations counted once; names outside the register are candidates by the same counts: other given
@@ -287,7 +309,6 @@ def attribute(df: DataFrame, key: str, cite: str, authors: DataFrame, author_key
     kind = df.schema[key].dataType.simpleString()
     out_kind = authors.schema[author_key].dataType.simpleString()
     narrow = df.select(F.col(key).alias("_key"), F.col(cite).cast("string").alias("_cite")).where("_cite <> ''")
-    heads = narrow.select(F.substring("_cite", 1, 400).alias("_cite"))
 
     def formed(part: pa.RecordBatch) -> list[str]:
         cp, at, _ = glyphs.consistent(*glyphs.decode(part.column("_cite")))
@@ -301,7 +322,7 @@ def attribute(df: DataFrame, key: str, cite: str, authors: DataFrame, author_key
                 cols = list(zip(*seen, strict=True)) or [(), (), ()]
                 yield words.record(what=pa.array(cols[0], pa.string()), name=pa.array(cols[1], pa.string()), detail=pa.array(cols[2], pa.string()), n=np.fromiter(seen.values(), np.int64, len(seen)))
 
-    counted = heads.distinct().mapInArrow(count, "what string, name string, detail string, n bigint").groupBy("what", "name", "detail").agg(F.sum("n").alias("n"))
+    counted = narrow.select("_cite").distinct().mapInArrow(count, "what string, name string, detail string, n bigint").groupBy("what", "name", "detail").agg(F.sum("n").alias("n"))
     # of other given names only the most frequent by first letter matters, so what is gathered is bounded by the register
     counted = counted.groupBy("what", "name", F.substring("detail", 1, 1).alias("detail")).agg(F.max("n").alias("n"))
     counted = counted.where((F.col("what") != "own") & (F.col("what") != "other") | (F.col("n") >= F.when(F.col("what") == "own", least).otherwise(2)))
@@ -323,20 +344,22 @@ def attribute(df: DataFrame, key: str, cite: str, authors: DataFrame, author_key
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         channel = Channel(Register(rows.value), *model.value)
         cache: dict[str, list[tuple[int, str]]] = {}
+        held = 0  # characters of the cache's keys
         for batch in batches:
             for part in words.slices(batch, "_cite"):
                 index, ids, typed = [], [], []
                 for k, text in enumerate(formed(part)):
-                    head = text[:400]
-                    if head not in cache:
-                        if len(cache) > 50_000:
+                    if text not in cache:
+                        if len(cache) > 50_000 or held > CACHE_CHARS:
                             cache.clear()
+                            held = 0
+                        held += len(text)
                         found: dict[int, str] = {}
-                        for p in parts(head):
+                        for p in parts(text):
                             if (i := channel.resolve(p)) is not None:
                                 found.setdefault(i, p.text.strip(" ,"))
-                        cache[head] = list(found.items())
-                    for i, spelling in cache[head]:
+                        cache[text] = list(found.items())
+                    for i, spelling in cache[text]:
                         index.append(k), ids.append(i), typed.append(spelling)
                 yield words.record(_key=part.column("_key").take(pa.array(index, pa.int64())), author=pa.array(ids, pa.int64()), spelling=pa.array(typed, pa.string()))
 

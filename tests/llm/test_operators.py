@@ -270,6 +270,15 @@ def test_names(spark):
     assert names.attribute(cards, "card_id", "cite", authors.limit(0), "author_id").count() == 0
 
 
+def test_long_citations_lose_no_author(spark):
+    many = "; ".join(f"Peters{chr(97 + k % 26)}ov, A." for k in range(60))
+    cites = [f"{many} & Zoë Lindström 2004 (x)", f"Zoe Lindström{' ' * 600}2004 — Oakmere Council, “T,” J", "Lindström & " + " " * 50_000 + "Bob Merricley" + " ," * 50_000 + "99 x"]
+    cards = spark.createDataFrame(list(enumerate(cites)), "k long, cite string")
+    authors = spark.createDataFrame(AUTHORS, "author_id long, name string, kind string, affiliation string")
+    got = {(r.k, r.author) for r in names.attribute(cards, "k", "cite", authors, "author_id").collect()}
+    assert got == {(0, 1), (2, 1), (2, 2)}  # the second is another of that name, at another place
+
+
 def test_frequent_spellings_are_names_of_their_own(spark):
     authors = spark.createDataFrame(AUTHORS[:1], "author_id long, name string, kind string, affiliation string")
     cites = [f"Lindstram {2000 + i} x" for i in range(8)] + ["Lindström 2003 x", "Lindstrim 2003 x"]
