@@ -57,14 +57,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_terms(spark, d).where("mark is not null").select("term", "mark")
 
 
-FACETS = ["position", "argtype", "year", "attribution", "words", "highlighted", "underlined", "docx_path", "topic", "division", "orig_folder", "collection"]
-
-
 def _versions(spark: SparkSession, d: str, least: int) -> DataFrame:
     files = table(spark, d, "files")
     keyed = files.join(survivors.stem_key(files, "file_id", "stem"), "file_id").where("group_key <> ''")
+    fields = [c for c in files.columns if c != "file_id"]
     year = F.regexp_extract("year", r"((?:19|20)\d\d)", 1)
-    return survivors.survivors(keyed, "file_id", "group_key", ["highlighted", "words"], F.when(year != "", year), FACETS, least=least)
+    return survivors.survivors(keyed, "file_id", "group_key", ["highlighted", "words"], F.when(year != "", year), fields, least=least)
 
 
 def p6_survivors(spark: SparkSession, d: str) -> DataFrame:

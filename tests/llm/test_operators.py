@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cardmill.llm import leaks, mixture, names, neardup, repetition, shared, spans, survivors, terms, vocabulary
+from cardmill.llm import leaks, mixture, names, neardup, queries, repetition, shared, spans, survivors, terms, vocabulary
 from cardmill.llm.leaks import align
 
 VOCABULARY = [f"w{i}" for i in range(200)]
@@ -237,6 +237,21 @@ def test_survivors(spark):
     assert survivors.survivors(df.limit(0), "file_id", "stem", ["words"], year, ["a"]).count() == 0
 
 
+def test_survivors_have_every_column_of_files(spark, tmp_path):
+    text = ("stem", "cmir_path", "docx_path", "format", "position", "argtype", "year", "attribution", "outline", "topic", "division", "orig_folder", "collection")
+    count = ("words", "highlighted", "underlined", "tagline_emph", "shaded", "card_nodes", "analytics_n", "evidence", "analytics")
+    schema = ", ".join(["file_id long", *(f"{c} string" for c in text), *(f"{c} long" for c in count)])
+    best = {"file_id": 2, "stem": "Aff Case", "cmir_path": "p2", "year": "2020", "highlighted": 9, "words": 50, "shaded": 4, "evidence": 7}
+    other = {"file_id": 1, "stem": "aff_case - copy", "cmir_path": "p1", "year": "2020", "highlighted": 5, "outline": "o1", "format": "f1", "shaded": 3, "tagline_emph": 6, "card_nodes": 8, "analytics_n": 1, "analytics": 2}
+    names = ("file_id", *text, *count)
+    spark.createDataFrame([tuple(r.get(c) for c in names) for r in (best, other)], schema).write.parquet(f"{tmp_path}/files.parquet")
+    (got,) = queries.p6_survivors(spark, str(tmp_path)).collect()
+    known = {c: best.get(c, other.get(c)) for c in names[1:]}
+    assert {c: got[c] for c in known} == known and (got.best_id, got.n) == (2, 2)
+    # the other knows more fields, though fewer of those of names and folders, so neither dominates
+    assert got.skyline == 2
+
+
 def test_layers_equal_peeling():
     rnd = random.Random(4)
     points = [(rnd.randrange(4), rnd.randrange(4), i) for i in rnd.sample(range(30), 20)]
