@@ -92,6 +92,8 @@ SELECT id AS card_id, min(r) AS group_id, (SELECT count(DISTINCT y.c) FROM e JOI
         "p4_scores": f"WITH {_terms()} SELECT card_id, term, tf::BIGINT AS tf, df::BIGINT AS df, round(ln(1 + tf) * (1 - (ln(gf) - s / gf) / ln((SELECT count(*) FROM cards))), 6) AS score FROM tf JOIN df USING (term)",
         "p5_found": f"WITH {_terms()} SELECT term, {mark} AS mark FROM df WHERE {mark} IS NOT NULL",
         "p5_terms": f"WITH {_terms()} SELECT term, gf::BIGINT AS occurrences, df::BIGINT AS records, {mark} AS mark FROM df",
+        "p5_ngrams": f"""WITH w AS (SELECT card_id, {words(TAGBODY, '[' + chr(92) + 'p{L}]+')} AS l FROM cards), {', '.join(grams('w', 'card_id', 'l', n, f'g{n}') for n in (1, 2, 3))}
+SELECT g AS term, n, count(*)::BIGINT AS occurrences, count(DISTINCT card_id)::BIGINT AS records FROM ({' UNION ALL '.join(f'SELECT card_id, g, {n}::INTEGER AS n FROM g{n}' for n in (1, 2, 3))}) GROUP BY g, n""",
         "p6_found": f"WITH {_stems()} SELECT min(file_id) AS first_id, arg_max(file_id, (coalesce(highlighted, -1), coalesce(words, -1), -file_id)) AS best_id FROM keyed WHERE k <> '' GROUP BY k HAVING count(*) > 1",
         "p8_found": f"WITH {leaked} SELECT DISTINCT doc_id, item_id FROM gd JOIN gb USING (g)",
         "p10_shares": f"""WITH {repeat}, pos AS (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM d), eq AS (SELECT doc_id, a.i, b.i - a.i AS gap FROM pos a JOIN pos b USING (doc_id, w) WHERE a.i < b.i),

@@ -53,6 +53,10 @@ def p5_terms(spark: SparkSession, d: str) -> DataFrame:
     return vocabulary.marked(counts, cards.count(), rare=2, common=(35, 100)).drop("n")
 
 
+def p5_ngrams(spark: SparkSession, d: str) -> DataFrame:
+    return vocabulary.frequencies(table(spark, d, "cards"), ["tag", "body"], longest=3)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_terms(spark, d).where("mark is not null").select("term", "mark")
 

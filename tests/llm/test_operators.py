@@ -178,6 +178,13 @@ def test_frequencies_of_ngrams_equal_counting(spark):
     assert vocabulary.frequencies(df.limit(0), ["t"]).count() == 0
 
 
+def test_ngrams_of_cards_are_a_query(spark, tmp_path):
+    cards = [(1, "A b", "c a B"), (2, None, "b c, a"), (3, "x", None)]
+    spark.createDataFrame(cards, "card_id long, tag string, body string").write.parquet(f"{tmp_path}/cards.parquet")
+    got = {r.term: (r.n, r.occurrences, r.records) for r in queries.queries()["p5_ngrams"](spark, str(tmp_path)).collect()}
+    assert got == {"a": (1, 3, 2), "b": (1, 3, 2), "c": (1, 2, 2), "x": (1, 1, 1), "a b": (2, 2, 1), "b c": (2, 2, 2), "c a": (2, 2, 2), "a b c": (3, 1, 1), "b c a": (3, 2, 2), "c a b": (3, 1, 1)}
+
+
 def test_marks(spark):
     df = spark.createDataFrame([("a", 36), ("b", 35), ("c", 2), ("d", 3)], "term string, records long")
     assert {r.term: r.mark for r in vocabulary.marked(df, 100, rare=2, common=(35, 100)).collect()} == {"a": "common", "b": None, "c": "rare", "d": None}
