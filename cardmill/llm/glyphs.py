@@ -26,7 +26,7 @@ LOOKALIKE = {
     "օ": "o", "ո": "n", "ս": "u", "հ": "h", "Օ": "O", "Տ": "S", "Ս": "U",
 }
 TOP = sys.maxunicode + 1
-PLAIN, BLANK, GONE, MAPPED, WIDE, MARK, ALIKE = range(7)
+PLAIN, BLANK, GONE, MAPPED, WIDE, MARK, ALIKE, JOIN = range(8)
 
 
 class Tables:
@@ -45,7 +45,7 @@ class Tables:
         pairs: dict[tuple[int, int], int] = {}
         compose: dict[str, str] = {}
         for c in range(TOP):
-            if 0xAC00 <= c <= 0xD7A3 or 0xD800 <= c <= 0xDFFF or 0x4E00 <= c <= 0x9FFF or 0x17000 <= c <= 0x1BFFF or 0x20000 <= c <= 0x3FFFF:
+            if 0xAC00 <= c <= 0xD7A3 or 0xD800 <= c <= 0xDFFF or 0x4E00 <= c <= 0x9FFF or 0x17000 <= c <= 0x1BFFF or 0x20000 <= c <= 0x2F7FF or 0x2FA20 <= c <= 0x3FFFF:
                 self.letter[c] = not 0xD800 <= c <= 0xDFFF and unicodedata.category(chr(c))[0] == "L"
                 continue
             s = chr(c)
@@ -63,11 +63,19 @@ class Tables:
             if kind[0] == "L" and "LATIN" in unicodedata.name(s, ""):
                 self.latin[c] = True
             parts = unicodedata.decomposition(s).split()
-            if len(parts) == 2 and parts[0][0] != "<" and unicodedata.normalize("NFC", s) == s:
+            form = unicodedata.normalize("NFC", s)
+            if form != s:  # only ever stands for others
+                if len(form) == 1:
+                    self.to[c] = ord(form)
+                    self.kind[c] = self.kind[c] or MAPPED
+                else:
+                    self.kind[c], self.wide[c] = WIDE, np.array([ord(x) for x in form], np.uint32)
+            elif len(parts) == 2 and parts[0][0] != "<":
                 a, b = (int(x, 16) for x in parts)
-                if unicodedata.combining(chr(b)):
-                    pairs[a, b] = c
-                    compose[chr(a) + chr(b)] = s
+                pairs[a, b] = c
+                compose[chr(a) + chr(b)] = s
+                if not unicodedata.combining(chr(b)):
+                    self.kind[b] = JOIN
         for first, last in WIDTHLESS:
             self.kind[first : last + 1] = GONE
         for first, last in COMPATIBLE:
@@ -82,6 +90,13 @@ class Tables:
         for (a, b), c in pairs.items():  # an accented look-alike becomes the accented Latin letter
             if chr(a) in look and (x := compose.get(look[chr(a)] + chr(b))):
                 look[chr(c)] = x
+        self.apart = {c: np.array([ord(x) for x in unicodedata.normalize("NFD", chr(c))], np.uint32) for c in pairs.values()}
+        # Hangul: 19 initials, 21 vowels, 27 finals; a syllable without a final begins each 28
+        for syllable in range(0xAC00, 0xD7A4):
+            initial, rest = divmod(syllable - 0xAC00, 21 * 28)
+            vowel, final = divmod(rest, 28)
+            pairs[(syllable - final, 0x11A7 + final) if final else (0x1100 + initial, 0x1161 + vowel)] = syllable
+        self.kind[0x1161:0x1176], self.kind[0x11A8:0x11C3] = JOIN, JOIN
         for a, b in look.items():
             self.kind[ord(a)], self.alike[ord(a)] = ALIKE, ord(b)
         self.inword = self.letter | self.digit
@@ -89,7 +104,6 @@ class Tables:
         keys = np.array([a << 21 | b for a, b in pairs], np.uint64)
         order = np.argsort(keys)
         self.pair, self.composed = keys[order], np.array(list(pairs.values()), np.uint32)[order]
-        self.apart = {c: np.array([ord(x) for x in unicodedata.normalize("NFD", chr(c))], np.uint32) for c in pairs.values()}
         self.accented = np.zeros(TOP, bool)
         self.accented[list(self.apart)] = True
 
@@ -156,6 +170,37 @@ def _expand(cp: np.ndarray, at: np.ndarray, where: np.ndarray, forms: dict[int,
 
 
 def _compose(cp: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The canonical composition: marks go into their letters, then letters that join the one before (vowel signs, the parts
+    of a syllable), again until nothing joins."""
+    cp, at = _marks(cp, at)
+    while (joined := _join(cp, at)) is not None:
+        cp, at = _marks(*joined)
+    return cp, at
+
+
+def _join(cp: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Letters that make one with the letter right before; of two such in a row the first. None if there are none."""
+    t = tables()
+    second = t.kind[cp] == JOIN
+    second[at[:-1][at[:-1] < len(cp)]] = False
+    where = np.nonzero(second)[0]
+    if not len(where):
+        return None
+    key = cp[where - 1].astype(np.uint64) << np.uint64(21) | cp[where].astype(np.uint64)
+    found = np.minimum(np.searchsorted(t.pair, key), len(t.pair) - 1)
+    hit = t.pair[found] == key
+    where, found = where[hit], found[hit]
+    first = np.append(True, np.diff(where) > 1)[: len(where)]
+    where, found = where[first], found[first]
+    if not len(where):
+        return None
+    cp, keep = cp.copy(), np.ones(len(cp), bool)
+    cp[where - 1] = t.composed[found]
+    keep[where] = False
+    return _keep(cp, at, keep)
+
+
+def _marks(cp: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Letters and the marks that follow them, as one letter where there is one: marks in canonical order, each tried in
     turn with the letter so far unless a mark of its class that found no partner stands between."""
     t = tables()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 from . import shared, words
 
+SEEN = 1 << 22  # classes that a task remembers
+
 
 def bands_for(threshold: float, rows: int, recall: float) -> int:
     """Bands of so many rows that a pair at the threshold shares one with this probability."""
@@ -22,35 +25,55 @@ def _narrow(df: DataFrame, key: str, fields: list[str]) -> tuple[DataFrame, list
     return df.select(F.col(key).alias("id"), *(F.col(c).cast("string").alias(n) for c, n in zip(fields, names, strict=True))), names
 
 
-def signatures(df: DataFrame, key: str, fields: list[str], *, shingle: int, rows: int, bands: int, seed: int = 7) -> DataFrame:
-    """(id, class, text, bands): for each row with at least one shingle hashes of its word sequence, of its fields as stored and of
-    each band."""
+def _long_enough(w: words.Words, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows with a shingle, a hash of each one's word sequence, where its shingles begin, and all shingle hashes."""
+    first, h = w.grams(shingle)
+    row = w.row[first]
+    begin = np.nonzero(np.append(True, row[1:] != row[:-1]))[0] if len(row) else np.zeros(0, np.int64)
+    own = row[begin]
+    return own, words.chained(w.hash, w.at[own], w.at[own + 1], words.CHAIN), begin, h
+
+
+def classes(df: DataFrame, key: str, fields: list[str], *, shingle: int) -> DataFrame:
+    """(id, class, text): for each row with at least one shingle hashes of its word sequence and of its fields as stored."""
     narrow, names = _narrow(df, key, fields)
     narrow = narrow.withColumn("text", F.xxhash64(*(F.coalesce(n, F.lit("")) for n in names)))
-    kind = df.schema[key].dataType.simpleString()
+
+    def name(part: pa.RecordBatch) -> pa.RecordBatch:
+        own, whole, _, _ = _long_enough(words.Words(words.joined(part, *names)), shingle)
+        take = pa.array(own)
+        return words.record(id=part.column("id").take(take), **{"class": words.signed(whole)}, text=part.column("text").take(take))
+
+    return narrow.mapInArrow(words.over(name, *names), f"id {df.schema[key].dataType.simpleString()}, class bigint, text bigint")
+
+
+def slots(df: DataFrame, fields: list[str], *, shingle: int, rows: int, bands: int, seed: int = 7) -> DataFrame:
+    """(slot, class): for each class of equal word sequences its bands, a number of 8 bits for the band and 56 for its minima. A
+    task gives a class once, so a class of any number of copies is at most one row a task in a slot."""
+    names = [f"_{i}" for i in range(len(fields))]
+    narrow = df.select(*(F.col(c).cast("string").alias(n) for c, n in zip(fields, names, strict=True)))
     draw = np.random.default_rng(seed)
     factors = draw.integers(0, 1 << 32, (bands * rows, 2), np.uint64).astype(np.uint32) | np.uint32(1)
     salts = draw.integers(0, 1 << 63, bands * rows, np.uint64) | np.uint64(1)
 
-    def sign(part: pa.RecordBatch) -> pa.RecordBatch | None:
-        w = words.Words(words.joined(part, *names))
-        first, h = w.grams(shingle)
-        if not len(first):
-            return None
-        row = w.row[first]
-        begin = np.nonzero(np.append(True, row[1:] != row[:-1]))[0]
-        low, high = h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint32)
-        keys = np.zeros((bands, len(begin)), np.uint64)
-        for i, (a, b) in enumerate(factors):
-            least = np.minimum.reduceat(low * a + high * b, begin)
-            keys[i // rows] = words.mix(keys[i // rows] + least * salts[i])
-        own = row[begin]
-        whole = words.chained(w.hash, w.at[own], w.at[own + 1], words.CHAIN)
-        flat = pa.array((keys.T >> np.uint64(32)).astype(np.uint32).ravel().view(np.int32))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * bands), flat)
-        return words.record(id=part.column("id").take(pa.array(own)), **{"class": words.signed(whole)}, text=part.column("text").take(pa.array(own)), bands=lists)
-
-    return narrow.mapInArrow(words.over(sign, *names), f"id {kind}, class bigint, text bigint, bands array<int>")
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for part in words.slices(batch, *names):
+                own, whole, begin, h = _long_enough(words.Words(words.joined(part, *names)), shingle)
+                if len(seen) > SEEN:
+                    seen.clear()  # copies then come out twice, which changes no pair
+                new = np.fromiter((not (x in seen or seen.add(x)) for x in whole.tolist()), bool, len(own))
+                if not new.any():
+                    continue
+                low, high = h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint32)
+                keys = np.zeros((bands, len(own)), np.uint64)
+                for i, (a, b) in enumerate(factors):
+                    keys[i // rows] = words.mix(keys[i // rows] + np.minimum.reduceat(low * a + high * b, begin) * salts[i])
+                keys = keys >> np.uint64(8) | (np.arange(bands, dtype=np.uint64) << np.uint64(56))[:, None]
+                yield words.record(slot=words.signed(keys[:, new].ravel()), **{"class": words.signed(np.tile(whole[new], bands))})
+
+    return narrow.mapInArrow(sign, "slot bigint, class bigint")
 
 
 def similar(pairs: DataFrame, fields: list[str], *, kind: str, shingle: int, threshold: float) -> DataFrame:
@@ -84,44 +107,46 @@ def linked(df: DataFrame, key: str, fields: list[str], *, shingle: int = 5, thre
     """Classes of equal word sequences, and links between classes that are similar enough.
 
     First (id, class, text, n): of each row that has a shingle the least id of its class, a hash of its fields as stored and the rows
-    of its class. Second (a, b, similarity): pairs of different classes,
-    a < b. Copies become one class before bands are shuffled, so a group of copies of any size is one row in a band. Bands go
-    through one shuffle that both sides of the self-join use; a band holds only different texts of the same rows of minima, and
-    AQE splits it if it is large. Each candidate pair is verified on the whole shingle sets of one row of either class.
+    of its class. Second (a, b, similarity): pairs of different classes, a < b. Bands hold classes, not rows, and go through one
+    shuffle that both sides of the self-join use; a band holds only different texts of the same minima, and AQE splits it
+    if it is large. Each candidate pair is verified on the whole shingle sets of one row of either class.
     """
     bands = bands_for(threshold, rows, recall)
-    sig = shared.cut(signatures(df, key, fields, shingle=shingle, rows=rows, bands=bands))
-    classes = sig.groupBy("class", "bands").agg(F.min("id").alias("rep"), F.count("*").alias("n"))  # equal words have equal bands: a row a class
-    members = sig.select("id", "class", "text").join(classes.select("class", "rep", "n"), "class").select("id", F.col("rep").alias("class"), "text", "n")
-    slots = classes.select("rep", F.posexplode("bands").alias("i", "h")).select("rep", (F.shiftleft(F.col("i").cast("long"), 32) + F.col("h").cast("long")).alias("slot"))
-    one, other = slots.select("slot", F.col("rep").alias("a")), slots.select("slot", F.col("rep").alias("b"))
-    pairs = one.join(other, "slot").where("a < b").select("a", "b").distinct()
+    if bands > 256:
+        raise ValueError(f"{bands} bands are needed, and 256 can be numbered: take fewer rows a band")
+    named = shared.cut(classes(df, key, fields, shingle=shingle))
+    reps = named.groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    members = named.join(reps, "class").select("id", F.col("rep").alias("class"), "text", "n")
+    banded = slots(df, fields, shingle=shingle, rows=rows, bands=bands)
+    pairs = banded.withColumnRenamed("class", "a").join(banded.withColumnRenamed("class", "b"), "slot").where("a < b").select("a", "b").distinct()
+    for side in "ab":
+        pairs = pairs.join(reps.select(F.col("class").alias(side), F.col("rep").alias(f"_{side}")), side).drop(side)
+    pairs = pairs.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
     narrow, names = _narrow(df, key, fields)
     for side, at in (("l", "a"), ("r", "b")):
         pairs = pairs.join(narrow.withColumnsRenamed({"id": at} | {n: f"{side}{n}" for n in names}), at)
     return members, similar(pairs, fields, kind=df.schema[key].dataType.simpleString(), shingle=shingle, threshold=threshold)
 
 
-def pairs(df: DataFrame, key: str, fields: list[str], *, expand: int = 64, **how: object) -> DataFrame:
+def pairs(df: DataFrame, key: str, fields: list[str], **how: object) -> DataFrame:
     """(a, b, similarity): ids of rows that are similar enough, a < b, each pair once.
 
-    Rows with the same words form a class. All pairs within and between linked classes come out, but of more than `expand`
-    exact copies (equal in each field as stored, null as empty) the smallest id stands for all in pairs with other texts, and
-    pairs with each of its copies: so a group of copies costs as many rows as it has copies, and each two different texts
-    that are similar enough are paired, in one class or in two.
+    Exact copies (equal in each field as stored, null as empty) are one text, whose smallest id stands for all of them: it is
+    paired with each of its copies, and with the smallest id of every other text that is similar enough. So each two different
+    texts that are similar enough are paired, whether their words are the same or not, and a text of any number of copies
+    costs a row a copy. This is the form for two copies as for a million; `groups` gives the copies of each row.
     Null fields count as empty; rows of fewer words than a shingle have no partner. Ids must be unique.
     """
     members, links = linked(df, key, fields, **how)
-    several = members.where("n > 1").select("id", "class", "text")
-    texts = several.groupBy("class", "text").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
-    several = several.join(texts, ["class", "text"])
-    star = several.where((F.col("copies") > expand) & (F.col("id") > F.col("first"))).select(F.col("first").alias("a"), F.col("id").alias("b"))
-    shown = several.where((F.col("copies") <= expand) | (F.col("id") == F.col("first"))).select("class", "id")
-    within = shown.select("class", F.col("id").alias("x")).join(shown.select("class", F.col("id").alias("y")), "class").where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    stands = members.where("n = 1").select("class", "id").union(shown)
+    texts = members.groupBy("class", "text").agg(F.min("id").alias("id"), F.first("n").alias("n"))
+    several = members.where("n > 1").select("class", "text", "id")
+    copies = several.join(texts.select("class", "text", F.col("id").alias("a")), ["class", "text"]).where("id > a").select("a", F.col("id").alias("b"))
+    shown = texts.where("n > 1").select("class", "id")
+    within = shown.select("class", F.col("id").alias("a")).join(shown.select("class", F.col("id").alias("b")), "class").where("a < b").select("a", "b")
+    stands = texts.select("class", "id")
     between = links.join(stands.select(F.col("class").alias("a"), F.col("id").alias("x")), "a").join(stands.select(F.col("class").alias("b"), F.col("id").alias("y")), "b")
     between = between.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
-    return between.unionByName(within.union(star).withColumn("similarity", F.lit(1.0)))
+    return between.unionByName(within.union(copies).withColumn("similarity", F.lit(1.0)))
 
 
 def groups(df: DataFrame, key: str, fields: list[str], **how: object) -> DataFrame:

@@ -40,7 +40,11 @@ def p3_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return terms.log_entropy(table(spark, d, "cards"), "card_id", ["tag", "body"], least_tf=4, most_df=5).select("card_id", "term")
+    """The terms of a score that the stated counts reach at least; of these the ones that have the counts."""
+    cards = table(spark, d, "cards")
+    n = cards.count()
+    scored = terms.log_entropy(cards, "card_id", ["tag", "body"], least=terms.least_score(n, 4, 5), n=n)
+    return scored.where("tf >= 4 and df <= 5").select("card_id", "term")
 
 
 def p4_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -49,7 +53,7 @@ def p4_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_terms(spark: SparkSession, d: str) -> DataFrame:
     cards = table(spark, d, "cards")
-    counts = vocabulary.frequencies(cards, ["tag", "body"]).select("term", "n", "occurrences", "records")
+    counts = vocabulary.frequencies(cards, ["tag", "body"], longest=3, lengths=[1]).select("term", "n", "occurrences", "records")
     return vocabulary.marked(counts, cards.count(), rare=2, common=(35, 100)).drop("n")
 
 
@@ -108,9 +112,14 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetition(table(spark, d, "documents"), "doc_id", "text").withColumn("share", F.round("share", 6))
 
 
+def p10_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that repeat three tenths of their words, or 40 words in a row."""
+    found = repetition.excessive(table(spark, d, "documents"), "doc_id", "text", share=(3, 10), longest=39)
+    return found.select("doc_id", "over_share", "over_longest")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    found = repetition.repetition(table(spark, d, "documents"), "doc_id", "text")
-    return found.where("n_words > 0 and repeated_words * 10 >= n_words * 3").select("doc_id")
+    return repetition.excessive(table(spark, d, "documents"), "doc_id", "text", share=(3, 10)).select("doc_id")
 
 
 def queries() -> dict[str, Query]:

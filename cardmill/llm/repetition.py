@@ -8,62 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-
-
-def repeats(row: np.ndarray, at: np.ndarray, word: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """First word and length of the longest repeated stretch there, where it has at least `least` words; row by row.
-
-    Suffixes of all rows are ranked by prefix doubling, with the row as the first key, so suffixes of different rows never
-    share a prefix. A suffix that is alone with its prefix keeps its rank and drops out of further doubling. Ranks of every
-    doubling are kept: the common prefix of neighbours in the suffix array is read off them from the longest step down.
-    """
-    n = len(row)
-    end = at[1:][row]
-    first = (row.astype(np.uint64) * words.ODD) ^ words.mix(word)
-    order = np.argsort(first)
-    new = np.append(True, first[order][1:] != first[order][:-1])
-    begin = np.nonzero(new)[0]
-    rank = np.zeros(n + 1, np.int64)
-    rank[order] = begin[np.cumsum(new) - 1]
-    rank[n] = -1
-    size = np.diff(np.append(begin, n))
-    active = order[np.repeat(size > 1, size)]
-    levels = [(1, rank)]
-    span = 1
-    while len(active):
-        second = np.where(active + span < end[active], rank[np.minimum(active + span, n)], -1)
-        order = np.lexsort((second, rank[active]))
-        active, second = active[order], second[order]
-        group = rank[active]
-        outer = np.append(True, group[1:] != group[:-1])
-        inner = outer | np.append(True, second[1:] != second[:-1])
-        index = np.arange(len(active))
-        rank = rank.copy()
-        rank[active] = group + index[inner][np.cumsum(inner) - 1] - index[outer][np.cumsum(outer) - 1]
-        size = np.diff(np.append(index[inner], len(active)))
-        active = active[np.repeat(size > 1, size)]
-        span *= 2
-        levels.append((span, rank))
-    array = np.empty(n, np.int64)
-    array[rank[:n]] = np.arange(n)
-    base = max(k for k, (s, _) in enumerate(levels) if s <= least)
-    lead = levels[base][1][array]
-    at_pair = np.nonzero(lead[1:] == lead[:-1])[0]
-    x, y = array[at_pair], array[at_pair + 1]
-    size = np.zeros(len(x), np.int64)
-    for step, r in reversed(levels):
-        for _ in range(2):
-            i, j = x + size, y + size
-            ok = (i < end[x]) & (j < end[y])
-            ok[ok] = r[i[ok]] == r[j[ok]]
-            if not ok.any():
-                break
-            size += ok * step
-    best = np.zeros(n, np.int64)
-    np.maximum.at(best, x, size)
-    np.maximum.at(best, y, size)
-    keep = np.nonzero(best >= least)[0]
-    return keep, best[keep]
+from .suffixes import Suffixes
 
 
 def repetition(df: DataFrame, key: str, text: str, *, least: int = 8) -> DataFrame:
@@ -78,7 +23,7 @@ def repetition(df: DataFrame, key: str, text: str, *, least: int = 8) -> DataFra
 
     def measure(part: pa.RecordBatch) -> pa.RecordBatch:
         w = words.Words(part.column("_text"))
-        first, size = repeats(w.row, w.at, w.hash, least) if len(w.row) else (np.zeros(0, np.int64),) * 2
+        first, size = Suffixes(w.row, w.at, w.hash, apart=True).repeats(least) if len(w.row) else (np.zeros(0, np.int64),) * 2
         step = np.zeros(len(w.row) + 1, np.int64)
         np.add.at(step, first, 1)
         np.add.at(step, first + size, -1)
@@ -90,3 +35,13 @@ def repetition(df: DataFrame, key: str, text: str, *, least: int = 8) -> DataFra
 
     narrow = df.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
     return narrow.mapInArrow(words.over(measure, "_text"), f"_key {kind}, n_words bigint, repeated_words bigint, share double, longest bigint").withColumnRenamed("_key", key)
+
+
+def excessive(df: DataFrame, key: str, text: str, *, least: int = 8, share: tuple[int, int] = (3, 10), longest: int | None = None) -> DataFrame:
+    """The rows of repetition() that are over a limit, with over_share and over_longest: at least share[0]/share[1] of their words
+    are repeated, or their longest repeat has more than `longest` words (null: any length). A row without words is over none."""
+    up, down = share
+    rows = repetition(df, key, text, least=least)
+    rows = rows.withColumn("over_share", (F.col("n_words") > 0) & (F.col("repeated_words") * down >= F.col("n_words") * up))
+    rows = rows.withColumn("over_longest", F.lit(False) if longest is None else F.col("longest") > longest)
+    return rows.where("over_share or over_longest")

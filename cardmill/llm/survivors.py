@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from .consistent import consistent_form
 
 # Long and short spellings of argument types in names of files; the last is the short one.
 TYPES = (("counterplans", "cp"), ("counterplan", "cp"), ("disadvantages", "da"), ("disadvantage", "da"), ("disads", "da"), ("disad", "da"), ("dis ad", "da"), ("kritiks", "k"), ("kritik", "k"), ("critique", "k"), ("topicality", "t"), ("answers to", "at"), ("answer to", "at"), ("a2", "at"), ("affirmative", "aff"), ("negative", "neg"), ("framework", "fw"))
+# Words after which a number is part of the name, not of a copy.
+NUMBERED = ("lesson", "drill", "round", "part", "day", "week", "unit", "session", "class", "lecture", "speech", "chapter", "volume", "vol", "module", "game", "debate", "topic", "set", "test", "exercise", "number", "no")
 # Words that mark a copy or a version at the end of a name.
 MARKS = ("copy", "final", "edited", "edit", "updated", "update", "old", "new", "recovered", "revised", "rev", "draft", "backup", "bak", "fixed", "v", "ver", "version", r"v ?\d+", r"ver ?\d+", r"version \d+", "[1-9]")
 RECENT = range(1900, 2101)  # years told apart; a proven bound of cells a group
@@ -19,23 +22,36 @@ RECENT = range(1900, 2101)  # years told apart; a proven bound of cells a group
 
 def stem_key(df: DataFrame, key: str, stem: str) -> DataFrame:
     """(key, group_key): stems in consistent form without case, separators, marks of copying or versioning at the end (or "copy of"
-    at the start), and with argument types in their short spelling. Null or empty stems give ''."""
+    at the start), and with argument types in their short spelling. A single digit at the end is such a mark, but not
+    after a word that is counted (lesson 3). Null or empty stems give ''."""
     text = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " "))
     text = F.concat(F.lit(" "), text, F.lit(" "))
     for long, short in TYPES:
         text = F.replace(text, F.lit(f" {long} "), F.lit(f" {short} "))
     text = F.regexp_replace(F.trim(text), r"^(copy (\d+ )?of )+", "")
+    text = F.regexp_replace(text, rf"\b({'|'.join(NUMBERED)}) (\d)\b", "$1#$2")  # not a digit of its own any more
     text = F.regexp_replace(text, rf"( ({'|'.join(MARKS)}))+$", "")
     return consistent_form(df, key, [stem]).select(key, text.alias("group_key"))
 
 
-def layers(cells: list[tuple[int, ...]]) -> list[list[int]]:
-    """Indices of the cells by layer of dominance: those that no other dominates, then those that only the first do, and so on."""
-    left, out = list(range(len(cells))), []
-    while left:
-        top = [i for i in left if not any(j != i and all(a >= b for a, b in zip(cells[j], cells[i], strict=True)) and cells[j] != cells[i] for j in left)]
-        out.append(top)
-        left = [i for i in left if i not in set(top)]
+def layers(cells: list[tuple[int, int, int]]) -> list[list[int]]:
+    """Indices of the cells (completeness, year, rank of trust; no rank twice) by layer of dominance: those that no other dominates,
+    then those that only the first do, and so on.
+
+    A cell's layer is one more than the greatest of the cells that dominate it. Cells are taken by falling rank, so those are
+    the ones taken before that are as great in both other numbers: a maximum over a corner of a small grid.
+    """
+    known, when = (sorted({c[i] for c in cells}) for i in (0, 1))
+    grid = np.zeros((len(known), len(when)), np.int64)
+    row, column = ({x: i for i, x in enumerate(axis)} for axis in (known, when))
+    out: list[list[int]] = []
+    for i in sorted(range(len(cells)), key=lambda i: -cells[i][2]):
+        r, c = row[cells[i][0]], column[cells[i][1]]
+        layer = int(grid[r:, c:].max())
+        grid[r, c] = layer + 1
+        while len(out) <= layer:
+            out.append([])
+        out[layer].append(i)
     return out
 
 
@@ -47,8 +63,9 @@ def survivors(df: DataFrame, key: str, group: str, trust: list[str], year: Colum
     record of the group dominates, the policy takes trust, then recency, then completeness; `skyline` is how many of
     them there are. Its null fields are filled from the first layer of dominance that knows the field, by the same policy.
 
-    Records of a group with equal completeness and recency form a cell, aggregated before the shuffle; a group has at
-    most (fields + 1) * 202 cells, so a group of any number of records is small when its layers are found. Records
+    Records of a group with equal completeness and recency are one candidate: it has the trust of the most trusted of them,
+    and of each field the value of the most trusted of them that knows it. Candidates are aggregated before the shuffle; a group
+    has at most (fields + 1) * 202, so a group of any number of records is small when its layers are found. Records
     with a null group are left out. Keys must be unique; repeated rows then count once for the best, twice in n.
     """
     score = F.struct(*(F.coalesce(F.col(c).cast("long"), F.lit(-1)).alias(f"_t{i}") for i, c in enumerate(trust)), (-F.col(key)).alias("_last"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 
 from . import words
 
+DIGITS = 1e-9
+
 
 def occurrences(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key, term, tf): terms of the joined fields with the times they occur in the row, in the lower-cased consistent form. All of
@@ -39,18 +43,26 @@ def spread(counts: DataFrame, n: int) -> DataFrame:
     return sums.select("term", "df", "gf", (1 - F.when(even > 0, entropy / even).otherwise(0.0)).alias("spread"))
 
 
-def log_entropy(df: DataFrame, key: str, fields: list[str], *, least_tf: int = 1, most_df: int | None = None) -> DataFrame:
+def least_score(n: int, tf: int, df: int) -> float:
+    """The least score of a term that occurs tf times or more in the row and in df rows or fewer of n: its occurrences are
+    spread evenly over df rows at most."""
+    return math.log1p(tf) * (1 - math.log(df) / math.log(n)) if n > df else 0.0
+
+
+def log_entropy(df: DataFrame, key: str, fields: list[str], *, least: float | None = None, n: int | None = None) -> DataFrame:
     """(key, term, tf, df, score): score = ln(1 + tf) * (1 - H / ln n), where H is the entropy of the term's occurrences
     over the n rows of df. Two aggregations: terms in a row, and rows of a term; the second is combined before the
     shuffle, so a term of all rows costs one row a partition.
 
-    least_tf and most_df keep the terms that occur so often in the row and in so few rows; the statistics are those of
-    all rows whatever is kept. Rows without terms (null or empty fields) give no row but count in n; with n of 1 the score
-    is ln(1 + tf). The key should be unique: rows with the same key count as different records.
+    least keeps the rows of so great a score (but for the last digits); as the second factor is at most 1, rows that are
+    too few occurrences for it are left out before they meet the statistics, which are those of all rows whatever is
+    kept. Rows without terms (null or empty fields) give no row but count in n; with n of 1 the score is ln(1 + tf). The key
+    should be unique: rows with the same key count as different records. n is the number of rows, if it is known.
     """
-    n = df.count()
+    n = df.count() if n is None else n
     counts = occurrences(df, key, fields)
     stats = spread(counts, n)
-    if most_df is not None:
-        stats = stats.where(F.col("df") <= most_df)
-    return counts.where(F.col("tf") >= least_tf).join(stats, "term").select(key, "term", "tf", "df", (F.log1p("tf") * F.col("spread")).alias("score"))
+    if least is not None:
+        counts = counts.where(F.log1p("tf") >= least - DIGITS)
+    out = counts.join(stats, "term").select(key, "term", "tf", "df", (F.log1p("tf") * F.col("spread")).alias("score"))
+    return out if least is None else out.where(F.col("score") >= least - DIGITS)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -11,58 +11,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
+from .suffixes import Suffixes
 
 
-def intervals(w: words.Words, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each length up to longest: the length, and of each n-gram a first word, its occurrences and its rows.
-
-    Suffixes are sorted by their first words up to longest, then by row. The common prefix of neighbours splits the order into
-    one interval for each n-gram; an interval's size counts occurrences, and neighbours of one row, which a row has more
-    than once, are subtracted for the number of rows.
-    """
-    n = len(w.row)
-    if not n:
+def intervals(w: words.Words, longest: int, lengths: Iterable[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length: the length, and of each n-gram a first word, its occurrences and its rows, all from one suffix array."""
+    if not len(w.row):
         return
-    _, word = np.unique(w.hash, return_inverse=True)
-    end = w.at[1:][w.row]
-    keys = [np.append(word + 1, np.zeros(longest, word.dtype))[k : k + n] * (np.arange(n) + k < end) for k in range(longest)]
-    # a stable sort on the words of one n-gram length keeps rows in order, as suffixes come in order of their rows
-    order = np.lexsort(keys[::-1]) if longest > 1 else np.argsort(keys[0], kind="stable")
-    row = w.row[order]
-    equal = np.ones(n - 1, bool)  # neighbours agree on the first words so far
-    valid = np.ones(n, bool)
-    for k in range(longest):
-        key = keys[k][order]
-        equal = equal & (key[1:] == key[:-1])
-        valid = valid & (key > 0)
-        begin = np.nonzero(np.append(True, ~equal))[0]
-        size = np.diff(np.append(begin, n))
-        if k + 1 < longest:  # within this interval rows may not be in order: sort it by row for the adjacencies
-            group = np.repeat(np.arange(len(begin)), size)
-            by = row[np.lexsort((row, group))]
-        else:
-            by = row
-        twice = np.concatenate([[0], np.cumsum(np.append(0, equal & (by[1:] == by[:-1])))])
-        rows = size - (twice[begin + size] - twice[begin])
-        ok = valid[begin]
-        yield k + 1, order[begin[ok]], size[ok], rows[ok]
+    array = Suffixes(w.row, w.at, w.hash, apart=False, depth=longest)
+    prefix, before = array.common(array.order[:-1], array.order[1:]), array.before()
+    for k in lengths:
+        yield k, *array.intervals(k, prefix, before)
 
 
-def frequencies(df: DataFrame, fields: list[str], *, longest: int = 1, letters: bool = True) -> DataFrame:
+def frequencies(df: DataFrame, fields: list[str], *, longest: int = 3, lengths: Sequence[int] | None = None, letters: bool = True) -> DataFrame:
     """(term, n, occurrences, records): how often each n-gram of up to `longest` words occurs in the joined fields of all rows, and
-    in how many rows; words are those of the lower-cased consistent form, n-grams have a space between words.
+    in how many rows; words are those of the lower-cased consistent form, n-grams have a space between words. One array
+    serves all lengths; `lengths` are those that come out (all, if not given).
 
     Each block of rows gets its own suffix array; a row lies in one block, so the counts of blocks add up, and only
     distinct n-grams of a block are shuffled. Null and empty fields have no words; equal rows count each; a text of any length
     is one block at least. An empty table gives no row.
     """
     names = [f"_{i}" for i in range(len(fields))]
+    wanted = tuple(range(1, longest + 1) if lengths is None else lengths)
+    if not all(1 <= k <= longest for k in wanted):
+        raise ValueError(f"lengths are from 1 to {longest}")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in words.slices(batch, *names):
                 w = words.Words(words.joined(part, *names), letters=letters)
-                for n, first, size, rows in intervals(w, longest):
+                for n, first, size, rows in intervals(w, longest, wanted):
                     texts = w.texts(first).cast(pa.string())
                     for k in range(1, n):
                         texts = pc.binary_join_element_wise(texts, w.texts(first + k).cast(pa.string()), " ")
