@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from . import shared, words
 
 SEEN = 1 << 22  # classes that a task remembers
+PART = 1000  # rows of a class that are paired at once
+SHORT = 24  # bits that bands leave off a class; classes alike in the others are candidates together, and verified
+MAP = 20  # bits of the number of a word in the bitmap of ids
 
 
 def bands_for(threshold: float, rows: int, recall: float) -> int:
@@ -48,8 +51,8 @@ def classes(df: DataFrame, key: str, fields: list[str], *, shingle: int) -> Data
 
 
 def slots(df: DataFrame, fields: list[str], *, shingle: int, rows: int, bands: int, seed: int = 7) -> DataFrame:
-    """(slot, class): for each class of equal word sequences its bands, a number of 8 bits for the band and 56 for its minima. A
-    task gives a class once, so a class of any number of copies is at most one row a task in a slot."""
+    """(slot, class): for each class of equal word sequences, without its last SHORT bits, its bands, a number of 8 bits for the band
+    and 56 for its minima. A task gives a class once, so a class of any number of copies is at most one row a task in a slot."""
     names = [f"_{i}" for i in range(len(fields))]
     narrow = df.select(*(F.col(c).cast("string").alias(n) for c, n in zip(fields, names, strict=True)))
     draw = np.random.default_rng(seed)
@@ -71,11 +74,20 @@ def slots(df: DataFrame, fields: list[str], *, shingle: int, rows: int, bands: i
                 for i, (a, b) in enumerate(factors):
                     keys[i // rows] = words.mix(keys[i // rows] + np.minimum.reduceat(low * a + high * b, begin) * salts[i])
                 keys = keys >> np.uint64(8) | (np.arange(bands, dtype=np.uint64) << np.uint64(56))[:, None]
-                yield words.record(slot=words.signed(keys[:, new].ravel()), **{"class": words.signed(np.tile(whole[new], bands))})
+                yield words.record(slot=words.signed(keys[:, new].ravel()), **{"class": words.signed(np.tile(whole[new] >> np.uint64(SHORT), bands))})
 
     return narrow.mapInArrow(sign, "slot bigint, class bigint")
 
 
+def wanted(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The texts with an id in a pair, and some others: those whose bit is set in a bitmap of the ids, which has a bounded size."""
+    word = f"(xxhash64(id) & {(1 << MAP) - 1})"
+    bit = f"shiftleft(1L, cast(shiftright(xxhash64(id), {MAP}) & 63 as int))"
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    bitmap = ids.groupBy(F.expr(word).alias("word")).agg(F.bit_or(F.expr(bit)).alias("bits"))
+    return texts.join(F.broadcast(bitmap), F.expr(f"{word} = word and bits & {bit} <> 0"), "left_semi")
+
+
 def similar(pairs: DataFrame, fields: list[str], *, kind: str, shingle: int, threshold: float) -> DataFrame:
     """The pairs whose distinct shingles agree so far, with `similarity`; texts of both sides are in l_0, r_0 and so on."""
     left, right = ([f"{side}_{i}" for i in range(len(fields))] for side in "lr")
@@ -109,44 +121,54 @@ def linked(df: DataFrame, key: str, fields: list[str], *, shingle: int = 5, thre
     First (id, class, text, n): of each row that has a shingle the least id of its class, a hash of its fields as stored and the rows
     of its class. Second (a, b, similarity): pairs of different classes, a < b. Bands hold classes, not rows, and go through one
     shuffle that both sides of the self-join use; a band holds only different texts of the same minima, and AQE splits it
-    if it is large. Each candidate pair is verified on the whole shingle sets of one row of either class.
+    if it is large. Each candidate pair is verified on the whole shingle sets of one row of either class; texts of classes that no
+    candidate has are left out before their shuffle. A class of which no row has an id is left out.
     """
     bands = bands_for(threshold, rows, recall)
     if bands > 256:
         raise ValueError(f"{bands} bands are needed, and 256 can be numbered: take fewer rows a band")
     named = shared.cut(classes(df, key, fields, shingle=shingle))
-    reps = named.groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    reps = named.groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("rep is not null")
     members = named.join(reps, "class").select("id", F.col("rep").alias("class"), "text", "n")
     banded = slots(df, fields, shingle=shingle, rows=rows, bands=bands)
     pairs = banded.withColumnRenamed("class", "a").join(banded.withColumnRenamed("class", "b"), "slot").where("a < b").select("a", "b").distinct()
     for side in "ab":
-        pairs = pairs.join(reps.select(F.col("class").alias(side), F.col("rep").alias(f"_{side}")), side).drop(side)
-    pairs = pairs.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+        pairs = pairs.join(reps.select(F.shiftrightunsigned("class", SHORT).alias(side), F.col("rep").alias(f"_{side}")), side).drop(side)
+    pairs = shared.cut(pairs.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")))
     narrow, names = _narrow(df, key, fields)
+    narrow = wanted(narrow, pairs)
     for side, at in (("l", "a"), ("r", "b")):
         pairs = pairs.join(narrow.withColumnsRenamed({"id": at} | {n: f"{side}{n}" for n in names}), at)
     return members, similar(pairs, fields, kind=df.schema[key].dataType.simpleString(), shingle=shingle, threshold=threshold)
 
 
-def pairs(df: DataFrame, key: str, fields: list[str], **how: object) -> DataFrame:
+def pairs(df: DataFrame, key: str, fields: list[str], *, expand: int | None = 64, **how: object) -> DataFrame:
     """(a, b, similarity): ids of rows that are similar enough, a < b, each pair once.
 
-    Exact copies (equal in each field as stored, null as empty) are one text, whose smallest id stands for all of them: it is
-    paired with each of its copies, and with the smallest id of every other text that is similar enough. So each two different
-    texts that are similar enough are paired, whether their words are the same or not, and a text of any number of copies
-    costs a row a copy. This is the form for two copies as for a million; `groups` gives the copies of each row.
+    With `expand` None all pairs come out, whatever the number of copies. With a number, of more than `expand` exact copies (equal
+    in each field as stored, null as empty) the smallest id stands for all in pairs with other texts, and pairs with each of its
+    copies: then a group of copies costs as many rows as it has copies, and each two different texts that are similar enough are
+    paired, whether their words are the same or not.
     Null fields count as empty; rows of fewer words than a shingle have no partner. Ids must be unique.
     """
     members, links = linked(df, key, fields, **how)
-    texts = members.groupBy("class", "text").agg(F.min("id").alias("id"), F.first("n").alias("n"))
-    several = members.where("n > 1").select("class", "text", "id")
-    copies = several.join(texts.select("class", "text", F.col("id").alias("a")), ["class", "text"]).where("id > a").select("a", F.col("id").alias("b"))
-    shown = texts.where("n > 1").select("class", "id")
-    within = shown.select("class", F.col("id").alias("a")).join(shown.select("class", F.col("id").alias("b")), "class").where("a < b").select("a", "b")
-    stands = texts.select("class", "id")
-    between = links.join(stands.select(F.col("class").alias("a"), F.col("id").alias("x")), "a").join(stands.select(F.col("class").alias("b"), F.col("id").alias("y")), "b")
-    between = between.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
-    return between.unionByName(within.union(copies).withColumn("similarity", F.lit(1.0)))
+    star = None
+    if expand is not None:
+        texts = members.where("n > 1").groupBy("class", "text").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where(F.col("copies") > expand)
+        members = members.join(texts, ["class", "text"], "left")
+        star = members.where("id > first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+        members = members.where("first is null or id = first")
+    # classes are paired in parts of about PART rows, so that no task has all pairs of a large class
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / PART)).alias("part")
+    parts = members.groupBy("class", "n", part).agg(F.collect_list("id").alias("ids"))
+    one, other = (parts.select(F.col("class").alias(side), "n", F.col("part").alias(f"{side}_part"), F.col("ids").alias(f"{side}_ids")) for side in "ab")
+    within = one.where("n > 1").join(other.drop("n").withColumnRenamed("b", "a"), "a").where("a_part <= b_part")
+    within = within.select("a_ids", "b_ids", F.lit(1.0).alias("similarity"), (F.col("a_part") == F.col("b_part")).alias("same"))
+    between = links.join(one.drop("n"), "a").join(other.drop("n"), "b").select("a_ids", "b_ids", "similarity", F.lit(False).alias("same"))
+    units = within.union(between).repartition("a_ids", "b_ids")
+    both = units.select("same", "similarity", "b_ids", F.explode("a_ids").alias("x")).select("same", "similarity", "x", F.explode("b_ids").alias("y"))
+    both = both.where("not same or x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+    return both if star is None else both.union(star)
 
 
 def groups(df: DataFrame, key: str, fields: list[str], **how: object) -> DataFrame:

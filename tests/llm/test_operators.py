@@ -92,6 +92,37 @@ def test_different_texts_of_many_rows_are_all_paired(spark, copies, how):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize(("copies", "part"), [(2, 1000), (70, 1000), (30, 4)])
+def test_the_pairs_of_cards_are_all_pairs_whatever_the_copies(spark, tmp_path, monkeypatch, copies, part):
+    monkeypatch.setattr(neardup, "PART", part, raising=False)
+    one, near, far = "one two three four five six seven", "one two three four five six eight", "four five six seven eight"
+    cards = [(one, None)] * copies + [(near, "")] * copies + [(one.title(), None), ("one", one[4:]), (far, None), (far, None), ("one two", None), (None, None)]
+    random.Random(4).shuffle(cards)
+    sets = [shingles(f"{t or ''} {b or ''}".lower(), 3) for t, b in cards]
+    spark.createDataFrame([(i, t, None, b) for i, (t, b) in enumerate(cards)], "card_id long, tag string, cite string, body string").write.parquet(f"{tmp_path}/cards.parquet")
+    want = sorted((i, j) for j in range(len(cards)) for i in range(j) if sets[i] and len(sets[i] & sets[j]) * 2 >= len(sets[i] | sets[j]))
+    assert sorted((r.card_a, r.card_b) for r in queries.p1_found(spark, str(tmp_path)).collect()) == want
+
+
+def test_pairs_of_cards_that_share_just_half_are_all_found(spark, tmp_path):
+    cards = []
+    for i in range(0, 4000, 2):
+        both = " ".join(f"w{i}x{k}" for k in range(8))
+        cards += [(i, both, None, f"{i} a{i} b{i}"), (i + 1, None, both, f"{i + 1} c{i} d{i}")]
+    sets = [shingles(" ".join(t or "" for t in c[1:]), 3) for c in cards]
+    want = {(i, i + 1) for i in range(0, 4000, 2)}
+    assert all(len(sets[i] & sets[j]) * 2 == len(sets[i] | sets[j]) for i, j in want)
+    spark.createDataFrame(cards, "card_id long, tag string, cite string, body string").write.parquet(f"{tmp_path}/cards.parquet")
+    assert {(r.card_a, r.card_b) for r in queries.p1_found(spark, str(tmp_path)).collect()} == want
+
+
+def test_cards_without_an_id_are_in_no_pair(spark, tmp_path):
+    one, near = "one two three four five six seven", "one two three four five six eight"
+    cards = [(None, one), (None, one), (1, near), (2, near), (None, near), (3, "one two three four five six nine")]
+    spark.createDataFrame([(i, None, None, t) for i, t in cards], "card_id long, tag string, cite string, body string").write.parquet(f"{tmp_path}/cards.parquet")
+    assert sorted((r.card_a, r.card_b) for r in queries.p1_found(spark, str(tmp_path)).collect()) == [(1, 2), (1, 3), (2, 3)]
+
+
 def test_components(spark):
     rnd = random.Random(8)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, rnd.randrange(101, 140)) for _ in range(30)] + [(7, 7), (None, 3), (200, 201)]
