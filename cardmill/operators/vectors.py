@@ -150,7 +150,12 @@ def aligned(cards: DataFrame, vectors: DataFrame, dims: int, key: str = "card_id
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, key: str, top: int) -> DataFrame:
-    """(query_id, key, similarity, rank): the vectors of the greatest cosine to each query, ties by key.
+    """(query_id, key, similarity, rank): the vectors of the greatest cosine to each query, ties by key."""
+    return ranked(similarities(queries, vectors, key, top), ["query_id"], [F.desc("similarity"), key], top)
+
+
+def similarities(queries: DataFrame, vectors: DataFrame, key: str, top: int | None = None) -> DataFrame:
+    """(query_id, key, similarity): the cosine of each query and each vector, or at least the `top` greatest of each query.
 
     Queries go to the executors in blocks of QUERIES and all vectors stream past each block as a matrix product; each batch keeps its
     `top` of each query before the shuffle. Vectors of length 0 have similarity 0; those of null or another length are passed over.
@@ -174,7 +179,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, key: str, top: int) -> DataF
                     continue
                 x = np.asarray(v.take(pa.array(own)).flatten(), np.float64).reshape(len(own), -1)
                 s = q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
-                k = min(top, len(own))
+                k = len(own) if top is None else min(top, len(own))
                 # all that reach the k-th greatest, so ties are settled by key later
                 limit = np.partition(s, len(own) - k, axis=1)[:, len(own) - k] - 1e-9
                 i, j = np.nonzero(s >= limit[:, None])
@@ -182,5 +187,4 @@ def nearest(queries: DataFrame, vectors: DataFrame, key: str, top: int) -> DataF
 
         found = vectors.select(F.col(key).alias("k"), F.col("v").cast("array<double>").alias("v")).mapInArrow(compare, f"query_id {id_kind}, k {kind}, similarity double")
         out = found if out is None else out.union(found)
-    out = out.select("query_id", F.col("k").alias(key), F.round("similarity", 6).alias("similarity"))
-    return ranked(out, ["query_id"], [F.desc("similarity"), key], top)
+    return out.select("query_id", F.col("k").alias(key), F.round("similarity", 6).alias("similarity"))

@@ -95,23 +95,28 @@ def lexical(w: evaluate.Weights, name: str) -> str:
  FROM scored GROUP BY ALL)"""
 
 
-EVAL = f"""{ASKED}, {EVALDF}, {fts()},
+FIRST_HITS = f" QUALIFY row_number() OVER (PARTITION BY term ORDER BY card_id) <= {evaluate.HITS}"
+
+
+def eval_rows(cut: str = "") -> str:
+    return f"""{ASKED}, {EVALDF}, {fts()},
 et0 AS (SELECT query_id, {tokens('q', T.QUERY_TOKEN)} AS raw FROM asked),
 et AS (SELECT query_id, CASE WHEN len(list_filter(raw, lambda t: NOT list_contains({words(evaluate.STOP)}, t))) > 0 THEN list_filter(raw, lambda t: NOT list_contains({words(evaluate.STOP)}, t)) ELSE raw END AS toks FROM et0),
 eterm AS (SELECT query_id, array_to_string(toks, ' ') AS phrase, unnest(toks) AS term FROM et),
 pat AS (SELECT DISTINCT term, ' ' || array_to_string(regexp_extract_all(term, '[a-z0-9]+'), ' ') || ' ' AS needle FROM eterm),
-eh AS (SELECT term, card_id FROM (SELECT DISTINCT term, card_id FROM pat JOIN ftsw ON contains(' ' || array_to_string(w, ' ') || ' ', needle)) QUALIFY row_number() OVER (PARTITION BY term ORDER BY card_id) <= 6000),
+eh AS (SELECT term, card_id FROM (SELECT DISTINCT term, card_id FROM pat JOIN ftsw ON contains(' ' || array_to_string(w, ' ') || ' ', needle)){cut}),
 scored AS (SELECT query_id, card_id, term, phrase, ln(1 + ((SELECT count(*) FROM cards) - df + 0.5) / (df + 0.5)) AS idf, lower(coalesce(tag, '')) AS tag, lower(coalesce(cite, '')) AS cite, lower(coalesce(body, '')) AS body, lower(coalesce(stem, '')) AS stem, is_evidence
  FROM eterm JOIN eh USING (term) JOIN evaldf USING (term) JOIN cards USING (card_id) JOIN files USING (file_id))"""
 
 
-def semantic(limit: int) -> str:
+def semantic(limit: int | None) -> str:
+    cut = "" if limit is None else f" QUALIFY k <= {limit}"
     return f"""{VEC}, near AS (SELECT query_id, card_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, card_id) AS k FROM (
- SELECT a.vec_id AS query_id, b.vec_id AS card_id, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM vec a JOIN vec b ON true WHERE a.vec_id % {EVERY} = 0 AND a.vec_id IN (SELECT query_id FROM asked)) QUALIFY k <= {limit})"""
+ SELECT a.vec_id AS query_id, b.vec_id AS card_id, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM vec a JOIN vec b ON true WHERE a.vec_id % {EVERY} = 0 AND a.vec_id IN (SELECT query_id FROM asked)){cut})"""
 
 
 def ranker() -> str:
-    out = f"{EVAL}, {semantic(evaluate.NEAREST)}"
+    out = f"{eval_rows()}, {semantic(None)}"
     for i, w in enumerate(evaluate.CONFIGS.values()):
         out += f""", {lexical(w, f'lex{i}')}, size{i} AS (SELECT query_id, count(*) AS n, max(score) AS most FROM lex{i} GROUP BY query_id),
 both{i} AS (SELECT query_id, card_id, round(sum(score), 6) AS score FROM (SELECT query_id, card_id, CASE WHEN most <> 0 THEN {w.a_lex} * score / most ELSE 0 END AS score FROM lex{i} JOIN size{i} USING (query_id)
@@ -252,7 +257,7 @@ SELECT query_id, place, stem, cards, score, CASE WHEN place = 1 THEN array_to_st
         "result_labels": f"WITH {TITLE} SELECT query_id, n, format('{{:,}}', n) || CASE WHEN n = 1 THEN ' match' ELSE ' matches' END || ' · titles' AS label FROM (SELECT query_id, count(card_id)::BIGINT AS n FROM named LEFT JOIN titled USING (query_id) GROUP BY query_id)",
         "display_cards": f"SELECT card_id, CASE WHEN tag <> '' THEN tag WHEN body <> '' THEN substr(body, 1, 140) || '…' ELSE '(untagged card)' END AS title, length(coalesce(tag, '')) < 12 AS weak, substr(coalesce(cite, ''), 1, 190) AS cite, {BADGES} AS badges, stem, '../' || replace(replace(replace(replace(replace(url_encode(coalesce(nullif(docx_path, ''), stem || '.docx')), '~', '%7E'), '%2A', '*'), '%2a', '*'), '+', '%2B'), '%20', '%20') AS link FROM cards JOIN files f USING (file_id)",
         "highlighted_tags": f"""WITH {LEX} SELECT query_id, card_id, list_reduce(list_prepend({ESCAPED.replace('{0}', 'tag')}, list_filter(toks, lambda t: length(t) >= 2)), lambda acc, t: regexp_replace(acc, '(?i)(' || regexp_escape(t) || ')', '<mark>\\1</mark>', 'g')) AS html FROM page JOIN cards USING (card_id) JOIN qt USING (query_id) WHERE rank <= 60""",
-        "eval_lexical": f"WITH {EVAL}, {lexical(W3, 'lex')} SELECT query_id, card_id, round(score, 4) AS score FROM lex",
+        "eval_lexical": f"WITH {eval_rows(FIRST_HITS)}, {lexical(W3, 'lex')} SELECT query_id, card_id, round(score, 4) AS score FROM lex",
         "rank_metrics": f"WITH {ranker()}, {METRICS} SELECT * FROM measured",
         "rank_best": f"WITH {ranker()}, {METRICS} SELECT * FROM measured ORDER BY mrr DESC, hit3 DESC, config LIMIT 1",
         "rank_report": f"WITH {ranker()} SELECT config, query_id, rank, stem, (query_id, stem) IN (SELECT (query_id, stem) FROM answers) AS good FROM results",

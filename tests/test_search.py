@@ -177,3 +177,15 @@ def test_detail(spark, data):
     cards, files = data
     got = {r.card_id: r for r in search.detail(cards, files, [13, 12, 999]).collect()}
     assert sorted(got) == [12, 13] and got[13].tag == "(untagged card)" and got[13].body.startswith("(no body") and got[12].body == "fifty states act on fishing"
+
+
+def test_second_ranker_scores_cards_past_the_first_of_a_term_and_the_nearest(spark):
+    n = 6100
+    files = spark.createDataFrame([(1, "Early"), (2, "Late")], "file_id long, stem string")
+    cards = spark.range(n).selectExpr("id AS card_id", f"CASE WHEN id < {n - 1} THEN 1L ELSE 2L END AS file_id", "0 AS is_evidence", f"CASE WHEN id < {n - 1} THEN '' ELSE 'fish' END AS tag", "'' AS cite", "'fish' AS body")
+    late = evaluate.search(q(spark, "fish"), None, cards, None, files, evaluate.Weights(1, 0, 0, 1, 10, 0, 0, 0, 0), 1).collect()
+    assert [(r.card_id, r.score) for r in late] == [(n - 1, 1.0)]
+    v = spark.range(n - 400, n).selectExpr("id AS card_id", f"array(1.0D, CASE WHEN id < {n - 1} THEN 0.0D ELSE 1.0D END) AS v")
+    qv = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, v array<double>")
+    got = {r.stem: r.score for r in evaluate.search(q(spark, "fish"), qv, cards, v, files, evaluate.Weights(0, 1, 0, 1, 0, 0, 0, 0, 0), 2).collect()}
+    assert got == {"Early": 1.0, "Late": 0.707107}
