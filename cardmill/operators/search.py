@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import index, vectors
+from . import index, pages, vectors
 from .ordered import ranked
 
 FACETS = ("format", "position", "argtype", "year", "collection")
@@ -76,18 +76,30 @@ def missing(queries: DataFrame, cards: DataFrame) -> DataFrame:
     return each.join(index.expanded(each, counts).select("term").distinct(), "term", "left_anti").select("query_id", "term", "pos")
 
 
-def lexical(queries: DataFrame, cards: DataFrame, files: DataFrame, facets: dict[str, str] | None = None) -> DataFrame:
-    """(query_id, card_id, score) of all matches that pass: 1, and for each term (repeated ones again) 8 in the stem, 10 in the tag, 4 in the
-    cite, 2 for evidence, 1 for a tag of more than 12 characters."""
-    rows = lower_fields(passing(cards, files, facets)).select("card_id", "_tag", "_cite", "_stem", (F.when(F.col("is_evidence") != 0, 2).otherwise(0) + F.when(F.char_length("tag") > 12, 1).otherwise(0)).alias("base"))
-    hits = matches(queries, cards).join(rows, "card_id").join(with_terms(queries).select("query_id", "toks"), "query_id")
-    sums = F.aggregate("toks", F.lit(1).cast("long"), lambda acc, t: acc + 8 * has("_stem", t) + 10 * has("_tag", t) + 4 * has("_cite", t))
-    return hits.select("query_id", "card_id", (sums + F.col("base")).cast("long").alias("score"))
+def vocabulary(cards: DataFrame) -> tuple[DataFrame, int]:
+    """(term, df) of the terms that searches know, and the number of cards."""
+    n = cards.count()
+    return index.pruned(index.frequencies(index.postings(cards, ["tag", "cite", "body"], T.INDEX_TOKEN)), n), n
+
+
+def scored_rows(cards: DataFrame, files: DataFrame, facets: dict[str, str] | None = None) -> DataFrame:
+    """(card_id, whole, _tag, _cite, _stem, base) of the cards that pass, texts lower-cased; base: 1, 2 for evidence, 1 for a tag of more than 12 characters."""
+    base = F.lit(1) + F.when(F.col("is_evidence") != 0, 2).otherwise(0) + F.when(F.char_length("tag") > 12, 1).otherwise(0)
+    return lower_fields(passing(cards, files, facets)).select("card_id", F.lower(T.text("tag", "cite", "body")).alias("whole"), "_tag", "_cite", "_stem", base.alias("base"))
+
+
+def first_matches(queries: DataFrame, cards: DataFrame, files: DataFrame, facets: dict[str, str] | None = None) -> DataFrame:
+    """(query_id, card_id, score, rank): the first matches that pass, best first, ties by id. The score is 1, and for each term (repeated ones
+    again) 8 in the stem, 10 in the tag, 4 in the cite, 2 for evidence, 1 for a tag of more than 12 characters. queries: query_id, q, most."""
+    counts, n = vocabulary(cards)
+    terms = queries.select("query_id", T.tokens(F.col("q"), T.QUERY_TOKEN).alias("toks"), "most").where(F.size("toks") > 0)
+    known = index.expanded(terms.select(F.explode("toks").alias("term")), counts)
+    return pages.first_matches(terms, scored_rows(cards, files, facets), known, n)
 
 
 def exact_search(queries: DataFrame, cards: DataFrame, files: DataFrame, facets: dict[str, str] | None = None, top: int = index.TOP, skip: int = 0) -> DataFrame:
     """(query_id, card_id, score, rank): a page of the matches of each query, best first, ties by id."""
-    return ranked(lexical(queries, cards, files, facets), ["query_id"], [F.desc("score"), "card_id"], skip + top).where(F.col("rank") > skip)
+    return first_matches(queries.select("query_id", "q", F.lit(skip + top).alias("most")), cards, files, facets).where(F.col("rank") > skip)
 
 
 def did_you_mean(queries: DataFrame, cards: DataFrame) -> DataFrame:
@@ -115,19 +127,34 @@ class Blend:
 def smart_search(queries: DataFrame, query_vectors: DataFrame, cards: DataFrame, card_vectors: DataFrame, files: DataFrame, facets: dict[str, str] | None = None, blend: Blend = Blend(), top: int = index.TOP) -> DataFrame:  # noqa: B008
     """(query_id, card_id, score, rank): shares of the best lexical score and of the greatest similarity, added. Queries without
     a vector keep their lexical scores. The most similar cards are taken before facets, so fewer may be left."""
-    lex = lexical(queries, cards, files, facets)
-    best = lex.groupBy("query_id").agg(F.max("score").alias("most"))
     has_vector = query_vectors.select("query_id").distinct().withColumn("v", F.lit(1))
-    lex = lex.join(best, "query_id").join(has_vector, "query_id", "left")
-    lex = lex.select("query_id", "card_id", F.when(F.col("v").isNull(), F.col("score").cast("double")).otherwise(blend.lexical * F.col("score") / F.greatest("most", F.lit(1))).alias("score"))
+    # without the most similar cards, which are scored one by one, a page is among so many first matches
+    most = F.when(F.col("v").isNull(), top).otherwise(top + blend.candidates)
+    lex = first_matches(queries.join(has_vector, "query_id", "left").select("query_id", "q", most.alias("most")), cards, files, facets)
     sem = vectors.nearest(query_vectors, card_vectors, "card_id", blend.candidates)
-    most = sem.where("rank = 1").select("query_id", F.col("similarity").alias("first"))
-    sem = sem.join(most, "query_id").join(passing(cards, files, facets).select("card_id"), "card_id")
-    sem = sem.select("query_id", "card_id", (blend.semantic * F.col("similarity") / F.coalesce(F.nullif("first", F.lit(0.0)), F.lit(1.0))).alias("score"))
-    both = lex.unionByName(sem).groupBy("query_id", "card_id").agg(F.round(F.sum("score"), 6).alias("score"))
+    first = sem.where("rank = 1").select("query_id", F.col("similarity").alias("first"))
+    near = pair_scores(sem.join(first, "query_id"), queries, cards, files, facets).select("query_id", "card_id", "score", "similarity", "first")
+    both = lex.select("query_id", "card_id", "score").unionByName(near, allowMissingColumns=True)
+    both = both.groupBy("query_id", "card_id").agg(*(F.max(c).alias(c) for c in ("score", "similarity", "first"))).join(has_vector, "query_id", "left")
+    most = F.greatest(F.max("score").over(Window.partitionBy("query_id")), F.lit(1))
+    blended = F.coalesce(blend.lexical * F.col("score") / most, F.lit(0.0)) + F.coalesce(blend.semantic * F.col("similarity") / F.coalesce(F.nullif("first", F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+    both = both.select("query_id", "card_id", F.round(F.when(F.col("v").isNull(), F.col("score").cast("double")).otherwise(blended), 6).alias("score"))
     return ranked(both, ["query_id"], [F.desc("score"), "card_id"], top)
 
 
+def pair_scores(pairs: DataFrame, queries: DataFrame, cards: DataFrame, files: DataFrame, facets: dict[str, str] | None = None) -> DataFrame:
+    """pairs of query_id and card_id whose card passes, with the score of first_matches, null if the card does not match."""
+    terms = with_terms(queries).select("query_id", "toks")
+    each = terms.select("query_id", F.explode(F.array_distinct("toks")).alias("term"))
+    known = each.join(index.expanded(each, vocabulary(cards)[0]), "term").groupBy("query_id", "term").agg(F.collect_list("word").alias("words"))
+    known = known.groupBy("query_id").agg(F.collect_list("words").alias("known"))
+    rows = scored_rows(cards.join(pairs.select("card_id").distinct(), "card_id", "left_semi"), files, facets)
+    both = pairs.join(rows, "card_id").join(terms, "query_id", "left").join(known, "query_id", "left")
+    own = F.regexp_extract_all("whole", F.lit(T.INDEX_TOKEN), F.lit(0))
+    sums = F.aggregate("toks", F.col("base").cast("long"), lambda acc, t: acc + 8 * has("_stem", t) + 10 * has("_tag", t) + 4 * has("_cite", t))
+    return both.withColumn("_own", own).select(*pairs.columns, F.when(F.forall("known", lambda w: F.arrays_overlap(w, F.col("_own"))), sums).alias("score"))
+
+
 def explain(results: DataFrame, queries: DataFrame, cards: DataFrame, files: DataFrame, top: int = 4, of: int = 120) -> DataFrame:
     """(query_id, place, stem, cards, score, matched): the files with most of the score among the first `of` results; for the first file also
     which terms its best card has in its tag or the start of its body. results: query_id, card_id, score, rank."""

@@ -189,3 +189,50 @@ def test_second_ranker_scores_cards_past_the_first_of_a_term_and_the_nearest(spa
     qv = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, v array<double>")
     got = {r.stem: r.score for r in evaluate.search(q(spark, "fish"), qv, cards, v, files, evaluate.Weights(0, 1, 0, 1, 0, 0, 0, 0, 0), 2).collect()}
     assert got == {"Early": 1.0, "Late": 0.707107}
+
+
+def shuffled(spark, df):
+    """The rows of df, and how many rows its stages wrote for others."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def stages():
+        every = store.stageList(None, False, False, none, None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in map(every.apply, range(every.size()))}
+
+    before = stages()
+    got = df.collect()
+    return got, sum(n for k, n in stages().items() if k not in before)
+
+
+def many(spark, n, asked):
+    cards = spark.range(n).selectExpr("id AS card_id", "id % 7 AS file_id", "id % 2 AS is_evidence", "CASE WHEN id % 3 = 0 THEN 'Fishing boats' WHEN id % 3 = 1 THEN '' END AS tag", "CASE WHEN id % 5 = 0 THEN 'boats' END AS cite", "CASE WHEN id % 4 < 1 THEN concat('fish boats ', char(97 + id % 26), 'xyz') ELSE concat('other ', char(97 + id % 26), 'zzz') END AS body", "id % 2 AS is_analytic", "'' AS section", "'' AS year")
+    cards = cards.unionAll(spark.range(n, 4 * n).selectExpr("id", "id % 7", "0L", "'plain'", "''", "'words only'", "0L", "''", "''"))
+    files = spark.range(7).selectExpr("id AS file_id", "concat('Stem_', CASE WHEN id = 3 THEN 'boats' ELSE 'x' END) AS stem", *(f"CAST(NULL AS STRING) AS {c}" for c in ("docx_path", "topic", *search.FACETS)))
+    return q(spark, *(f"{('fish', 'boats', 'fish boats', 'boats fish fish', 'axy boats')[i % 5]} z{i}q" for i in range(asked))), cards, files
+
+
+def test_a_page_needs_no_row_for_every_match(spark, monkeypatch):
+    queries, cards, files = many(spark, 3000, 200)
+    matched = {(r.query_id, r.card_id) for r in search.matches(queries, cards).collect()}
+    toks = {r.query_id: r.toks for r in search.with_terms(queries).collect()}
+    rows = {r.card_id: r for r in search.lower_fields(search.passing(cards, files)).collect()}
+    score = lambda k, c: 1 + sum(10 * (t in c._tag) + 4 * (t in c._cite) + 8 * (t in c._stem) for t in toks[k]) + 2 * (c.is_evidence != 0) + (len(c.tag or "") > 12)
+    want = []
+    for k in toks:
+        own = sorted((-score(k, rows[c]), c) for j, c in matched if j == k)[:5]
+        want += [(k, c, -s, i + 1) for i, (s, c) in enumerate(own)]
+    want.sort()
+    assert len(want) == 1000 and len(matched) > 100_000
+    got, moved = shuffled(spark, search.exact_search(queries, cards, files, top=5))
+    assert sorted(tuple(r) for r in got) == want and moved < len(matched) / 2
+    monkeypatch.setattr(search.pages, "QUERIES", 70)
+    assert sorted(tuple(r) for r in search.exact_search(queries, cards, files, top=5).collect()) == want
+
+
+def test_a_blend_takes_the_match_after_those_that_fall_back(spark):
+    _, cards, files = many(spark, 300, 1)
+    v = spark.range(0, 300, 3).selectExpr("id AS card_id", "array(if(id = 0, 1.0D, -1.0D), 0.0D) AS v")
+    qv = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, v array<double>")
+    got = [(r["rank"], r.card_id) for r in search.smart_search(q(spark, "boats"), qv, cards, v, files, top=3).orderBy("rank").collect()]
+    assert got == [(1, 0), (2, 115), (3, 185)]
