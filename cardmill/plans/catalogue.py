@@ -194,11 +194,8 @@ def eval_lexical(spark: SparkSession, d: str) -> DataFrame:
 def _config_results(t: Tables) -> DataFrame:
     v = t.embeddings.select(F.col("vec_id").alias("card_id"), F.col("embedding").alias("v"))
     asking = v.where(F.col("card_id") % EVERY == 0).select(F.col("card_id").alias("query_id"), "v").join(asked(t).select("query_id"), "query_id")
-    out = None
-    for name, w in evaluate.CONFIGS.items():
-        one = evaluate.search(asked(t), asking, t.cards, v, t.files, w).select(F.lit(name).alias("config"), "query_id", "stem", "rank")
-        out = one if out is None else out.unionByName(one)
-    return out
+    out = evaluate.searches(asked(t), asking, t.cards, v, t.files, list(evaluate.CONFIGS.values()))
+    return out.select(F.element_at(F.array(*(F.lit(c) for c in evaluate.CONFIGS)), F.col("config") + 1).alias("config"), "query_id", "stem", "rank")
 
 
 def _known(t: Tables) -> DataFrame:

@@ -248,3 +248,25 @@ def test_parts_are_found_without_a_row_for_every_trigram(spark, monkeypatch):
     assert sorted(tuple(r) for r in got) == want and moved < len(want) / 2
     monkeypatch.setattr(index, "QUERIES", 40)
     assert sorted(tuple(r) for r in index.contains_search(asked, cards, files).collect()) == want
+
+
+def test_leaders_need_no_row_for_every_card_of_a_term(spark):
+    queries, cards, files = many(spark, 1500, 60)
+    w = evaluate.CONFIGS["lexical-first + phrase + title"]
+    v = spark.range(0, 1500, 9).selectExpr("id AS card_id", "array(1.0D, id % 5 - 2.0D) AS v")
+    qv = spark.range(0, 60, 2).selectExpr("id AS query_id", "array(1.0D, 1.0D) AS v")
+    lex = {(r.query_id, r.card_id): r.score for r in evaluate.lexical(queries, cards, files, w, None).collect()}
+    sem = {(r.query_id, r.card_id): r.similarity for r in vectors.similarities(qv, v, "card_id").collect()}
+    stem = {r.card_id: r.stem for r in index.with_stem(cards, files).collect()}
+    want = []
+    for k in range(60):
+        own, near = {c: s for (j, c), s in lex.items() if j == k}, {c: s for (j, c), s in sem.items() if j == k}
+        most, first = max(own.values(), default=0), max(near.values(), default=0)
+        damped = w.a_sem * (1 - w.sem_damp * min(1, len(own) / w.lex_sat))
+        score = {c: round((w.a_lex * own.get(c, 0) / most if most else 0) + (damped * near[c] / first if c in near else 0), 6) for c in own | near}
+        best = {}
+        for c in sorted(score, key=lambda c: (-score[c], c)):
+            best.setdefault(stem[c], c)
+        want += [(k, c, i + 1) for i, c in enumerate(list(best.values())[:2])]
+    got, moved = shuffled(spark, evaluate.search(queries, qv, cards, v, files, w, 2))
+    assert sorted((r.query_id, r.card_id, r["rank"]) for r in got) == sorted(want) and len(lex) > 50_000 and moved < 3 * len(lex)
